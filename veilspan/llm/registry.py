@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from veilspan.llm import bpe, token_shards
+from veilspan.llm import bpe, near_dedup, token_shards
 
-_MODULES = (token_shards, bpe)
+_MODULES = (token_shards, bpe, near_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
