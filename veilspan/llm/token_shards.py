@@ -1,6 +1,7 @@
 """Token-id output: raw id payloads in shard files, with a minimal perfect hash over document keys.
 
-File, all little-endian: the ids of all documents in order (unsigned 32-bit), then the
+File, all little-endian: the ids of all documents in order (unsigned, 16 bits each where
+the vocabulary fits, else 32), then the
 sections named in the JSON directory, the directory, its length (u32) and MAGIC. Sections:
 keys (i64, file order), offsets (u64, n + 1, in ids), levels (the hash's bit arrays, one
 after another), ranks (u32, set bits before each 64-bit word), fingerprints (u32 per slot)
@@ -109,7 +110,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """Streams documents to one file; the file appears under its name only when it is complete."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, width: int = 4):
+        self.width = width
         self.store, self.path = _open(uri)
         self.uri, self.part = uri, f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.store.open_output_stream(self.part)
@@ -118,7 +120,7 @@ class ShardWriter:
         self.n_ids = 0
 
     def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.out.write(ids.astype("<u4").tobytes())
+        self.out.write(ids.astype(f"<u{self.width}").tobytes())
         self.keys.append(keys)
         self.counts.append(counts)
         self.n_ids += len(ids)
@@ -127,13 +129,13 @@ class ShardWriter:
         keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *self.counts]))])
         index = KeyIndex.build(keys)
-        at, parts = 4 * self.n_ids, {}
+        at, parts = self.width * self.n_ids, {}
         for (name, kind), values in zip(_SECTIONS, (keys, offsets, index.words, index.ranks, index.fingerprints, index.ordinals), strict=True):
             content = np.ascontiguousarray(values, kind).tobytes()
             parts[name] = [at, len(content)]
             at += len(content)
             self.out.write(content)
-        directory = json.dumps({"n_ids": self.n_ids, "sizes": index.sizes, "sections": parts}).encode()
+        directory = json.dumps({"n_ids": self.n_ids, "width": self.width, "sizes": index.sizes, "sections": parts}).encode()
         self.out.write(directory + len(directory).to_bytes(4, "little") + MAGIC)
         self.out.close()
         self.store.move(self.part, self.path)
@@ -153,17 +155,20 @@ class ShardReader:
         n = int.from_bytes(tail[:4], "little")
         directory = json.loads(self.file.read_at(n, size - 12 - n))
         part = {name: np.frombuffer(self.file.read_at(directory["sections"][name][1], directory["sections"][name][0]), kind) for name, kind in _SECTIONS}
+        self.width = directory["width"]
         self.keys, self.offsets = part["keys"].astype(np.int64), part["offsets"].astype(np.int64)
         self.index = KeyIndex(directory["sizes"], part["levels"].astype(_U), part["ranks"], part["fingerprints"], part["ordinals"])
 
-    def payload(self, place: int) -> bytes:
+    def ids(self, place: int) -> np.ndarray:
+        """Unsigned 32-bit ids of the document at a place of the file."""
         a, b = self.offsets[place], self.offsets[place + 1]
-        return self.file.read_at(int(4 * (b - a)), int(4 * a))
+        content = self.file.read_at(int(self.width * (b - a)), int(self.width * a))
+        return np.frombuffer(content, f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> np.ndarray | None:
         """Ids of the first document with this key, or None."""
         place = int(self.index.find(np.array([key], np.int64))[0])
-        return None if place < 0 else np.frombuffer(self.payload(place), "<u4")
+        return None if place < 0 else self.ids(place)
 
 
 def write_shards(df: DataFrame, folder: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -181,7 +186,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_column: str = "d
                 counts = np.diff(at)
                 ids = np.insert(ids, at[1:], end_id)
                 if writer is None:
-                    writer = ShardWriter(f"{folder}/shard-{part:06}-{number:06}.tok")
+                    writer = ShardWriter(f"{folder}/shard-{part:06}-{number:06}.tok", 2 if max(len(coder.names), end_id + 1) <= 1 << 16 else 4)
                 writer.add(rows.column(0).fill_null(NULL_KEY).to_numpy().astype(np.int64), ids, counts + 1)
                 if writer.n_ids >= shard_ids:
                     done.append((part * 1_000_000 + number, *writer.close()))
@@ -214,7 +219,7 @@ def read_shards(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 place = np.where(place == own, place, own)
                 for a in range(0, len(place), 10_000):
                     some = place[a : a + 10_000]
-                    crc = [zlib.crc32(reader.payload(int(p))) for p in some]
+                    crc = [zlib.crc32(reader.ids(int(p))) for p in some]
                     keys = pa.array(reader.keys[some], mask=reader.keys[some] == NULL_KEY)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(base + reader.offsets[some]), pa.array(reader.offsets[some + 1] - reader.offsets[some]), pa.array(crc, pa.int64())], [id_column, "start", "n_tokens", "ids_crc32"])
 
