@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from veilspan.llm import bpe, near_dedup, substring_dedup, token_shards
+from veilspan.llm import bpe, fingerprints, near_dedup, packing, sharding, substring_dedup, token_shards
 
-_MODULES = (token_shards, bpe, substring_dedup, near_dedup)
+_MODULES = (fingerprints, token_shards, bpe, substring_dedup, sharding, packing, near_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
