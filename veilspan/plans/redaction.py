@@ -2,7 +2,9 @@
 
 The order is meaning: the policy judges before overlaps are settled, so a long span that is then kept
 can't take a private one down with it; all detection precedes rewriting, so mentions that
-no recognizer saw are replaced too. Rows move by document key alone; the mapping's scope is
+no recognizer saw are replaced too. Detections and the mapping, small beside the texts,
+are staged between the steps, so texts are scanned once for detection and once for
+rewriting. Rows move by document key alone; the mapping's scope is
 a document, or the whole corpus with scope="corpus".
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import spans
 from veilspan.operators import overlap, policy, rewrite, surrogates, vocabulary
 from veilspan.operators import recognizers as rec
+from veilspan.sources.staging import staged
 
 DETECTED = ("entity_type", "start", "end", "score", "text")
 
@@ -84,12 +87,11 @@ class RedactionJob:
         reason = policy.decision(*(F.col(c) for c in ("entity_type", "text", "before", "terms", "refs", "headings", "small")))
         return wide.select("doc_id", *DETECTED, reason.alias("reason"))
 
-    def settle(self, judged: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Kept detections, and those that fall after merging with their reason."""
+    def settle(self, judged: DataFrame, texts: DataFrame) -> DataFrame:
+        """Disjoint, merged detections; reason is NULL for those that are kept."""
         apart = overlap.resolve_overlaps(judged.where("reason is null").drop("reason"))
         merged = overlap.merge_addresses(apart, texts)
-        late = merged.withColumn("reason", policy.after_merge(F.col("entity_type"), F.col("text"), F.col("entity_type").isin(*rec.STRUCTURED)))
-        return late.where("reason is null").drop("reason"), late.where("reason is not null")
+        return merged.withColumn("reason", policy.after_merge(F.col("entity_type"), F.col("text"), F.col("entity_type").isin(*rec.STRUCTURED)))
 
     def name(self, kept: DataFrame, aliases: DataFrame | None) -> DataFrame:
         """The mapping, with variants, host forms and glossary aliases at their canonical's stand-in."""
@@ -103,9 +105,10 @@ class RedactionJob:
 
     def run(self, texts: DataFrame, rows: DataFrame | None = None) -> Outcome:
         known, aliases = self.vocabulary(texts, rows)
-        judged = self.judge(self.detect(texts), texts, known, rows)
-        kept, late = self.settle(judged, texts)
-        mapped = self.name(kept, aliases)
+        judged = staged(self.judge(self.detect(texts), texts, known, rows), "judged")
+        settled = staged(self.settle(judged, texts), "settled")
+        kept, late = settled.where("reason is null").drop("reason"), settled.where("reason is not null")
+        mapped = staged(self.name(kept, aliases), "mapping")
         scope = () if self.config.corpus_scope else ("doc_id",)
         table = mapped.drop("doc_id") if self.config.corpus_scope else mapped
         return Outcome(kept, judged.where("reason is not null").unionByName(late), mapped, rewrite.rewrite(texts, table, scope))
