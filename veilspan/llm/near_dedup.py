@@ -11,7 +11,8 @@ nothing. Two documents are linked if 100 * |intersection| >= percent * |union|.
    rarest values of either: each class skips its T - 1 longest lists (prefix and skip
    merging), and classes with fewer than T shared values post nothing.
 3. Collisions of a pair are counted on whole signatures; pairs with T or more, and sizes
-   that allow a link, are confirmed on full sets.
+   and sketches (the least hash of each of BINS ranges) that allow a link, are confirmed on
+   full sets.
 4. Pairs are made in rounds so that no list is ever expanded into all its pairs. First
    each member meets the list's smallest one. After that only members of different
    components meet, each its best partners first; lists within one component are done.
@@ -42,6 +43,8 @@ MISS = 1e-7  # most probable loss of a pair at the threshold itself
 BLOCK = 4096  # members of a list that one task compares with each other
 PARTNERS = ((0, 8), (8, 64), (64, 2 * BLOCK))  # ranks of a member's partners by round
 FILTER_BITS = 1 << 23
+BINS = 256  # of a sketch, one byte each
+SKETCH_MISS = 1e-9
 _U = np.uint64
 _SALT = mix(np.arange(K, dtype=_U) + _U(0x51ED))
 
@@ -54,6 +57,17 @@ def needed(k: int, similarity: float) -> int:
     return max(1, t)
 
 
+def sketch_needed(similarity: float) -> np.ndarray:
+    """By number of bins that either of two linked sets fills: equal ones they have but with SKETCH_MISS."""
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        below, t = 0.0, 0
+        while below + (p := math.comb(n, t) * similarity**t * (1 - similarity) ** (n - t)) <= SKETCH_MISS:
+            below, t = below + p, t + 1
+        out[n] = t
+    return out
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and where each text's start and the last end."""
     words = Words(data, bounds, lower=True)
@@ -81,7 +95,7 @@ def _totals(values: np.ndarray, how: np.ufunc, edge: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, n, key_a, key_b (of the set) and coords (null for an empty set)."""
+    """doc_id, n, key_a, key_b (of the set), coords (null for an empty set) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,9 +114,14 @@ def signatures(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     coords[full, k] = _totals(x, np.minimum, edge) ^ _SALT[k]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * K, pa.int32()), pa.array(coords.reshape(-1).view(np.int64)))
                 lists = pa.compute.if_else(pa.array(full), lists, pa.scalar(None, lists.type))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in keys), lists], ["doc_id", "n", "key_a", "key_b", "coords"])
+                text, bins = np.repeat(np.arange(len(sizes)), sizes), (flat >> _U(56)).astype(np.int64)
+                least = np.r_[True, (text[1:] != text[:-1]) | (bins[1:] != bins[:-1])] if len(flat) else np.zeros(0, bool)
+                sketch = np.zeros((len(sizes), BINS), np.uint8)
+                sketch[text[least], bins[least]] = (flat[least] & _U(0xFFFF)) % _U(255) + _U(1)
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(sizes), [None, pa.py_buffer(sketch)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in keys), lists, sketches], ["doc_id", "n", "key_a", "key_b", "coords", "sketch"])
 
-    return df.select(id_column, text_column).mapInArrow(run, "doc_id long, n long, key_a long, key_b long, coords array<long>")
+    return df.select(id_column, text_column).mapInArrow(run, "doc_id long, n long, key_a long, key_b long, coords array<long>, sketch binary")
 
 
 def shingle_rows(df: DataFrame, wanted: np.ndarray, id_column: str, text_column: str) -> DataFrame:
@@ -163,22 +182,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _list_pairs(t: int, percent: int, ranks: tuple[int, int]):
-    """For rows sorted by list and block pair: pairs of different components by rank of partner."""
-
-    def of(cell: np.ndarray, member: np.ndarray, comp: np.ndarray, n: np.ndarray, own: np.ndarray, side: np.ndarray, single: bool) -> np.ndarray:
+    """For rows sorted by list and block pair: pairs of different components by rank of partner.
+
+    A pair that meets in several lists is made in the first of their common coordinates.
+    """
+    enough = sketch_needed(percent / 100)
+
+    def alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs have sketches that allow a link, and their estimated resemblance."""
+        ok, near = np.zeros(len(a), bool), np.zeros(len(a))
+        for i in range(0, len(a), 50_000):
+            x, y = sketch[a[i : i + 50_000]], sketch[b[i : i + 50_000]]
+            equal, either = ((x == y) & (x > 0)).sum(1), ((x | y) > 0).sum(1)
+            ok[i : i + 50_000], near[i : i + 50_000] = equal >= enough[either], equal / np.maximum(1, either)
+        return ok, near
+
+    def of(key: int, member: np.ndarray, comp: np.ndarray, n: np.ndarray, own: np.ndarray, posted: np.ndarray, sketch: np.ndarray, side: np.ndarray, single: bool) -> np.ndarray:
+        place = int(np.flatnonzero(own[0] == key)[0])
         rows, cols = (np.arange(len(member)),) * 2 if single else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         out = []
         for a in range(0, len(rows), 256):
             r = rows[a : a + 256]
-            same = np.zeros((len(r), len(cols)), np.uint8)
+            same, earlier = np.zeros((len(r), len(cols)), np.uint8), np.zeros((len(r), len(cols)), bool)
             for k in range(K):
-                same += own[r, k][:, None] == own[cols, k][None, :]
-            ok = (same >= t) & (comp[r][:, None] != comp[cols][None, :])
+                equal = own[r, k][:, None] == own[cols, k][None, :]
+                same += equal
+                if k < place:
+                    earlier |= equal & ((posted[r] >> k) & 1 == 1)[:, None] & ((posted[cols] >> k) & 1 == 1)[None, :]
+            ok = (same >= t) & ~earlier & (comp[r][:, None] != comp[cols][None, :])
             ok &= (n[r][:, None] * 100 >= n[cols][None, :] * percent) & (n[cols][None, :] * 100 >= n[r][:, None] * percent)
-            if not ok.any():
-                continue
             at, to = np.nonzero(ok)
-            order = np.lexsort((member[cols[to]], -same[at, to].astype(int), at))
+            if not len(at):
+                continue
+            fit, near = alike(sketch, r[at], cols[to])
+            at, to, near = at[fit], to[fit], near[fit]
+            order = np.lexsort((member[cols[to]], -near, at))
             at, to = at[order], to[order]
             rank = np.arange(len(at)) - np.searchsorted(at, at)
             keep = (rank >= ranks[0]) & (rank < ranks[1])
@@ -199,10 +237,11 @@ def _list_pairs(t: int, percent: int, ranks: tuple[int, int]):
             yield from pairs(rest, None)
 
     def pairs(rows: pa.RecordBatch, fresh: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        keys, lo, hi, side, member, comp, n = (rows.column(i).to_numpy() for i in range(7))
-        own = rows.column(7).flatten().to_numpy().reshape(len(rows), K)
+        keys, lo, hi, side, member, comp, n, posted = (rows.column(i).to_numpy() for i in range(8))
+        own = rows.column(8).flatten().to_numpy().reshape(len(rows), K)
+        sketch = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.uint8).reshape(len(rows), BINS)
         edge = [0, len(rows)] if fresh is None else fresh.tolist()
-        found = [of(keys, member[a:b], comp[a:b], n[a:b], own[a:b], side[a:b], lo[a] == hi[a]) for a, b in zip(edge[:-1], edge[1:]) if b - a > 1]
+        found = [of(keys[a], member[a:b], comp[a:b], n[a:b], own[a:b], posted[a:b], sketch[a:b], side[a:b], lo[a] == hi[a]) for a, b in zip(edge[:-1], edge[1:]) if b - a > 1]
         if found:
             both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -216,18 +255,19 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_column: str = "doc_id",
     t = needed(K, percent / 100)
     signed = staged(signatures(df, id_column, text_column), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
-    classes = staged(full.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.first("coords").alias("coords")), "classes")
+    classes = staged(full.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch")), "classes")
 
-    posted = classes.select("rep", F.explode("coords").alias("key"))
+    posted = classes.select("rep", F.posexplode("coords").alias("place", "key"))
     lengths = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    shared = posted.join(lengths, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("lists"))
-    shared = shared.where(F.size("lists") >= t).select("rep", F.explode(F.slice("lists", 1, F.size("lists") - (t - 1))).alias("list"))
-    lists = staged(shared.select("list.key", "rep"), "lists")
+    shared = posted.join(lengths, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "key", "place"))).alias("lists"))
+    shared = shared.where(F.size("lists") >= t).select("rep", F.slice("lists", 1, F.size("lists") - (t - 1)).alias("lists"))
+    places = F.aggregate("lists", F.lit(0), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["place"])))
+    lists = staged(shared.withColumn("posted", places).select("rep", "posted", F.explode("lists").alias("list")).select("list.key", "rep", "posted"), "lists")
 
     wanted = bit_filter(lists.select("rep").distinct(), "rep")
     sets = staged(shingle_rows(df, wanted, id_column, text_column).join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "sets")
 
-    info = classes.select("rep", "n", "coords")
+    info = classes.select("rep", "n", "coords", "sketch")
     heads = lists.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("length")).where("length > 1")
     star = lists.join(heads, "key").where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     for x in "ab":
@@ -237,14 +277,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_column: str = "doc_id",
     found = components(confirmed(star, sets, percent))
 
     for ranks in PARTNERS:
-        placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "posted", F.coalesce("component", "rep").alias("comp"))
         placed = staged(placed, "placed")
         open_ = placed.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
         blocks = F.ceil(F.col("length") / BLOCK).cast("int")
         cells = placed.join(open_.select("key", blocks.alias("blocks")), "key").join(info, "rep")
         cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "coords")
+        cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "posted", "coords", "sketch")
         cells = cells.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
         pairs = cells.mapInArrow(_list_pairs(t, percent, ranks), "a long, b long").distinct()
         links = confirmed(pairs, sets, percent)
