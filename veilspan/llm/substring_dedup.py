@@ -53,8 +53,8 @@ NULL_ID = -(1 << 63)
 def _slide(x: np.ndarray, n: int, how: np.ufunc) -> np.ndarray:
     """how over x[i:i+n]; spans that leave x end with it."""
     out, width = x.copy(), 1
-    while width < n:
-        step = min(width, n - width)
+    while width < min(n, len(x)):
+        step = min(width, n - width, len(x) - width)
         out[: len(out) - step] = how(out[: len(out) - step], out[step:])
         width += step
     return out
