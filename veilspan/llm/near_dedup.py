@@ -13,11 +13,12 @@ nothing. Two documents are linked if 100 * |intersection| >= percent * |union|.
 3. Collisions of a pair are counted on whole signatures; pairs with T or more, and sizes
    and sketches (the least hash of each of BINS ranges) that allow a link, are confirmed on
    full sets.
-4. Pairs are made in rounds so that no list is ever expanded into all its pairs. First
-   each member meets the list's smallest one. After that only members of different
-   components meet, each its best partners first; lists within one component are done.
-   Lists longer than BLOCK are compared block by block. The last round covers all that is left,
-   so no link between different components is missed.
+4. No list is ever expanded into its pairs. First each member meets the list's smallest
+   one, which joins most of a group of copies. Lists that still hold several components are
+   compared block by block: a first pass keeps the members with a candidate in another
+   component, a second holds those members' full sets side by side and returns only the
+   links that join components. Together the passes see all candidates, so no link
+   between different components is missed.
 
 Nulls: a null text has the empty set; a row with a null id gets component null and is kept.
 Rows that share an id are one document of the graph. An empty table gives an empty one.
@@ -27,7 +28,7 @@ Only the id and text columns are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,7 @@ from veilspan.llm.words import Words, mix, slices
 WORDS = 5
 K = 16
 MISS = 1e-7  # most probable loss of a pair at the threshold itself
-BLOCK = 4096  # members of a list that one task compares with each other
-PARTNERS = ((0, 8), (8, 64), (64, 2 * BLOCK))  # ranks of a member's partners by round
+BLOCK = 1024  # members of a list that one task compares with as many others
 FILTER_BITS = 1 << 23
 BINS = 256  # of a sketch, one byte each
 SKETCH_MISS = 1e-9
@@ -181,26 +181,56 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _list_pairs(t: int, percent: int, ranks: tuple[int, int]):
-    """For rows sorted by list and block pair: pairs of different components by rank of partner.
+def _by_cell(handle: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
+    """handle for each whole cell of rows sorted by key, lo, hi (the first three columns)."""
 
-    A pair that meets in several lists is made in the first of their common coordinates.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(batch):
+                continue
+            change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in keys])) + 1
+            if rest and any(rest[-1].column(i)[-1].as_py() != keys[i][0] for i in range(3)):
+                change = np.r_[0, change]
+            at = 0
+            for to in change.tolist():
+                rest.append(batch.slice(at, to - at))
+                if (out := handle(pa.concat_batches(rest))) is not None:
+                    yield out
+                rest, at = [], to
+            rest.append(batch.slice(at))
+        if rest and (out := handle(pa.concat_batches(rest))) is not None:
+            yield out
+
+    return run
+
+
+def _candidates(t: int, percent: int):
+    """For one cell: the members that have a candidate in another component.
+
+    A pair that meets in several lists counts in the first of its common coordinates.
     """
     enough = sketch_needed(percent / 100)
 
-    def alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs have sketches that allow a link, and their estimated resemblance."""
-        ok, near = np.zeros(len(a), bool), np.zeros(len(a))
+    def alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs have sketches that allow a link."""
+        ok = np.zeros(len(a), bool)
         for i in range(0, len(a), 50_000):
             x, y = sketch[a[i : i + 50_000]], sketch[b[i : i + 50_000]]
-            equal, either = ((x == y) & (x > 0)).sum(1), ((x | y) > 0).sum(1)
-            ok[i : i + 50_000], near[i : i + 50_000] = equal >= enough[either], equal / np.maximum(1, either)
-        return ok, near
-
-    def of(key: int, member: np.ndarray, comp: np.ndarray, n: np.ndarray, own: np.ndarray, posted: np.ndarray, sketch: np.ndarray, side: np.ndarray, single: bool) -> np.ndarray:
+            ok[i : i + 50_000] = ((x == y) & (x > 0)).sum(1) >= enough[((x | y) > 0).sum(1)]
+        return ok
+
+    def handle(cell: pa.RecordBatch) -> pa.RecordBatch | None:
+        if len(cell) < 2:
+            return None
+        side, comp, n, posted = (cell.column(i).to_numpy() for i in (3, 5, 6, 7))
+        own = cell.column(8).flatten().to_numpy().reshape(len(cell), K)
+        sketch = np.frombuffer(b"".join(cell.column(9).to_pylist()), np.uint8).reshape(len(cell), BINS)
+        key, single = cell.column(0)[0].as_py(), cell.column(1)[0] == cell.column(2)[0]
         place = int(np.flatnonzero(own[0] == key)[0])
-        rows, cols = (np.arange(len(member)),) * 2 if single else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        out = []
+        rows, cols = (np.arange(len(cell)),) * 2 if single else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        keep = np.zeros(len(cell), bool)
         for a in range(0, len(rows), 256):
             r = rows[a : a + 256]
             same, earlier = np.zeros((len(r), len(cols)), np.uint8), np.zeros((len(r), len(cols)), bool)
@@ -212,41 +242,39 @@ def _list_pairs(t: int, percent: int, ranks: tuple[int, int]):
             ok = (same >= t) & ~earlier & (comp[r][:, None] != comp[cols][None, :])
             ok &= (n[r][:, None] * 100 >= n[cols][None, :] * percent) & (n[cols][None, :] * 100 >= n[r][:, None] * percent)
             at, to = np.nonzero(ok)
-            if not len(at):
+            fit = alike(sketch, r[at], cols[to])
+            keep[r[at[fit]]] = keep[cols[to[fit]]] = True
+        if not keep.any():
+            return None
+        some = cell.filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([some.column(i) for i in range(6)], ["key", "lo", "hi", "side", "rep", "comp"])
+
+    return handle
+
+
+def _joining_links(percent: int):
+    """For one cell with full sets: links between components, until none joins two more."""
+
+    def handle(cell: pa.RecordBatch) -> pa.RecordBatch | None:
+        member, (_, comp) = cell.column(4).to_numpy(), np.unique(cell.column(5).to_numpy(), return_inverse=True)
+        sizes = pa.compute.list_value_length(cell.column(6)).to_numpy()
+        _, flat = np.unique(cell.column(6).flatten().to_numpy(), return_inverse=True)
+        edge, mark = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(flat) + 1, np.int32)
+        found = []
+        for a in range(len(member)):
+            if (comp == comp[a]).all():
                 continue
-            fit, near = alike(sketch, r[at], cols[to])
-            at, to, near = at[fit], to[fit], near[fit]
-            order = np.lexsort((member[cols[to]], -near, at))
-            at, to = at[order], to[order]
-            rank = np.arange(len(at)) - np.searchsorted(at, at)
-            keep = (rank >= ranks[0]) & (rank < ranks[1])
-            out.append(np.stack([member[r[at[keep]]], member[cols[to[keep]]]], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            mark[flat[edge[a] : edge[a + 1]]] = 1
+            shared = np.add.reduceat(mark[flat], edge[:-1])
+            mark[flat[edge[a] : edge[a + 1]]] = 0
+            linked = shared * 100 >= (sizes + sizes[a] - shared) * percent
+            for b in np.flatnonzero(linked & (comp != comp[a])):
+                if comp[b] != comp[a]:
+                    found.append((member[a], member[b]))
+                    comp[comp == comp[b]] = comp[a]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"]) if found else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pa.concat_batches([rest, batch])
-            keys = rest.column(0).to_numpy()
-            lo, hi = rest.column(1).to_numpy(), rest.column(2).to_numpy()
-            fresh = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            if len(fresh) > 1:
-                yield from pairs(rest.slice(0, int(fresh[-1])), fresh)
-                rest = rest.slice(int(fresh[-1]))
-        if rest is not None and len(rest):
-            yield from pairs(rest, None)
-
-    def pairs(rows: pa.RecordBatch, fresh: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        keys, lo, hi, side, member, comp, n, posted = (rows.column(i).to_numpy() for i in range(8))
-        own = rows.column(8).flatten().to_numpy().reshape(len(rows), K)
-        sketch = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.uint8).reshape(len(rows), BINS)
-        edge = [0, len(rows)] if fresh is None else fresh.tolist()
-        found = [of(keys[a], member[a:b], comp[a:b], n[a:b], own[a:b], posted[a:b], sketch[a:b], side[a:b], lo[a] == hi[a]) for a, b in zip(edge[:-1], edge[1:]) if b - a > 1]
-        if found:
-            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return run
+    return handle
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -276,23 +304,22 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_column: str = "doc_id",
     star = star.where(_fits(F.col("n_a"), F.col("n_b"), percent) & (matches >= t)).select("a", "b")
     found = components(confirmed(star, sets, percent))
 
-    for ranks in PARTNERS:
-        placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "posted", F.coalesce("component", "rep").alias("comp"))
-        placed = staged(placed, "placed")
-        open_ = placed.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-        cells = placed.join(open_.select("key", blocks.alias("blocks")), "key").join(info, "rep")
-        cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "posted", "coords", "sketch")
-        cells = cells.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
-        pairs = cells.mapInArrow(_list_pairs(t, percent, ranks), "a long, b long").distinct()
-        links = confirmed(pairs, sets, percent)
-        for x in "ab":
-            links = links.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(x, F.coalesce(f"c_{x}", x)).drop(f"c_{x}")
-        more = components(links)
-        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = staged(_merged(stars, more), "components")
+    placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "posted", F.coalesce("component", "rep").alias("comp"))
+    placed = staged(placed, "placed")
+    open_ = placed.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    cells = placed.join(open_.select("key", blocks.alias("blocks")), "key").join(info, "rep")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "posted", "coords", "sketch")
+    dealt = lambda df: df.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    members = dealt(cells).mapInArrow(_by_cell(_candidates(t, percent)), "key long, lo int, hi int, side int, rep long, comp long")
+    whole = members.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("key", "lo", "hi", "side", "rep", "comp", "shingles")
+    links = staged(dealt(whole).mapInArrow(_by_cell(_joining_links(percent)), "a long, b long"), "links")
+    for x in "ab":
+        links = links.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(x, F.coalesce(f"c_{x}", x)).drop(f"c_{x}")
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = staged(_merged(stars, components(links)), "components")
 
     rep = signed.join(classes.select("key_a", "key_b", "n", "rep"), ["key_a", "key_b", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
     out = rep.join(found, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
