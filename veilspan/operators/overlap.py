@@ -76,7 +76,7 @@ def merge_addresses(df: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("d
         gap = spans.between(body, last["end"], d["start"])
         reads = spans.between(body, last["start"], d["end"]).rlike(POSTAL_CODE) | spans.preceding(body, last["start"], LEAD_MARGIN).rlike(ADDRESS_LEAD)
         free = ~d["entity_type"].isin(*STRUCTURED)
-        joins = F.coalesce(free & last["open"] & (d["start"] - last["end"] <= GAP) & (d["end"] - last["start"] <= LONGEST) & gap.rlike(r"^[^.;!?\n]{0,25}$") & ~gap.rlike(ADDRESS_STOP) & reads, F.lit(False))
+        joins = F.coalesce(free & last["open"] & (d["start"] - last["end"] <= GAP) & (d["end"] - last["start"] <= LONGEST) & gap.rlike(r"^[^.;!?\n]{0,25}\z") & ~gap.rlike(ADDRESS_STOP) & reads, F.lit(False))
         grown = F.struct(last["start"], d["end"], F.lit("LOCATION"), F.greatest(last["score"], d["score"]), F.lit(True)).cast(group)
         alone = F.struct(d["start"], d["end"], d["entity_type"], d["score"], free).cast(group)
         return F.when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown)).otherwise(F.array_append(done, alone))
