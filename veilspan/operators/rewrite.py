@@ -1,6 +1,7 @@
 """Dictionary rewriting: every mention of a mapped key is replaced, detected or not.
 
-First a gate: the tokens of every text are joined with the first tokens of the keys, so a
+A mapping of its own document meets its text directly. A mapping over the whole corpus
+meets a gate first: the tokens of every text are joined with one token of each key, so a
 text meets only keys that can occur in it. Then one alternation of those keys, longest
 first, finds the mentions: any white space between words, no letter or digit at either
 end, any case. A mention inside an e-mail address is left to the address.
@@ -64,10 +65,13 @@ def rewrite(texts: DataFrame, mapped: DataFrame, scope: tuple[str, ...] = ("doc_
     runs = tokens(F.col("key"))
     word = F.get(F.filter(runs, lambda x: x.rlike("[a-z0-9]")), 0)
     keys = mapped.select(*scope, "key", "surrogate", F.coalesce(word, F.get(runs, 0)).alias("gate")).where("gate is not null")
-    seen = texts.select(*row, F.explode(F.array_distinct(tokens(F.col(text_column)))).alias("gate"))
-    met = seen.join(keys, [*scope, "gate"])
-    some = met.groupBy(*row).agg(F.map_from_entries(F.collect_set(F.struct("key", "surrogate"))).alias("_to"))
-    joined = texts.select(*row, F.col(text_column).alias("_text")).join(some, list(row), "left")
+    to = F.map_from_entries(F.collect_set(F.struct("key", "surrogate"))).alias("_to")
+    if scope:
+        some = keys.groupBy(*scope).agg(to)
+    else:
+        seen = texts.select(*row, F.explode(F.array_distinct(tokens(F.col(text_column)))).alias("gate"))
+        some = seen.join(keys, "gate").groupBy(*row).agg(to)
+    joined = texts.select(*row, F.col(text_column).alias("_text")).join(some, list(scope or row), "left")
     out = F.when(F.col("_to").isNotNull(), replaced(F.col("_text"), F.map_keys("_to"), F.col("_to"))).otherwise(F.struct(F.col("_text").alias("text"), F.lit(0).alias("hits")))
     return joined.withColumn("_out", out).select(*row, F.col("_out.text").alias("text"), F.col("_out.hits").alias("replacements"))
 
