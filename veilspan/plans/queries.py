@@ -18,6 +18,7 @@ from veilspan.functions import validators
 from veilspan.functions.spans import EDGE
 from veilspan.operators import evaluate, overlap, policy, recognizers, rewrite, surrogates, verify, vocabulary
 from veilspan.plans import redaction
+from veilspan.sources import images, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -637,6 +638,73 @@ def foreign_hosts(spark, sf_dir):
     return verify.foreign_hosts(pages, ("example.com",), ("page_id",))
 
 
+@query("SELECT unnest([" + ", ".join(f"'{k}'" for k in sorted(k for k, *_ in synthetic.PLANTED)) + "]) AS entity_type, 300::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn")
+def synthetic_recall(spark, sf_dir):
+    """Every planted value of 300 synthetic documents is found, and no decoy."""
+    docs = synthetic.documents(spark, 300)
+    kinds = tuple(k for k, *_ in synthetic.PLANTED)
+    found = overlap.resolve_overlaps(recognizers.detect(docs, wanted=kinds))
+    return evaluate.per_type(evaluate.matched(found, synthetic.annotations(docs), "strict"))
+
+
+_BOX = "s_suppkey % 40 AS l, s_suppkey % 30 AS t, s_suppkey % 40 + 5 + s_suppkey % 11 AS r, s_suppkey % 30 + 4 + s_suppkey % 7 AS b"
+
+
+@query(f"""WITH x AS (SELECT s_suppkey, s_nationkey, {_BOX} FROM supplier)
+    SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM x a JOIN x b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
+    WHERE greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.b, b.b) - greatest(a.t, b.t)) > 0.3 * least((a.r - a.l) * (a.b - a.t), (b.r - b.l) * (b.b - b.t))""")
+def overlapping_boxes(spark, sf_dir):
+    rows = t(spark, sf_dir, "supplier").selectExpr("s_nationkey", "s_suppkey", *[x.strip() for x in _BOX.split(",")]).select("s_nationkey", "s_suppkey", F.struct("l", "t", "r", "b").alias("box"))
+    pairs = rows.alias("x").join(rows.alias("y"), "s_nationkey").where("x.s_suppkey < y.s_suppkey")
+    return pairs.where(overlap.boxes_overlap(F.col("x.box"), F.col("y.box"))).select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b"))
+
+
+_WORD_BOXES = "SELECT cast(l_orderkey % 50 AS string) AS doc_id, 'i' AS name, cast(l_linenumber AS int) AS block, 0 AS par, cast(l_partkey % 9 AS int) AS line, cast(l_suppkey AS int) AS word_no, concat('w', cast(l_suppkey AS string)) AS text, l_quantity * 2 AS conf, cast(l_partkey % 700 AS int) AS l, cast(l_suppkey % 80 AS int) AS t, cast(l_partkey % 700 + l_quantity * 3 AS int) AS r, cast(l_suppkey % 80 + l_partkey % 17 AS int) AS b, 800 AS width, 100 AS height FROM lineitem"
+
+
+@query(f"""SELECT doc_id, name, block, par, line, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM ({_WORD_BOXES})
+    WHERE r > l AND b > t AND conf >= 30 AND b - t <= 12 AND (r - l) * (b - t) <= 4000 GROUP BY doc_id, name, block, par, line""")
+def image_line_bands(spark, sf_dir):
+    """Plausible recognised words, put together by line."""
+    found = spark.sql(_WORD_BOXES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t(spark, sf_dir, "lineitem"))
+    return images.line_bands(images.plausible(found))
+
+
+_CARD_TEXT = "concat(p_name, case p_partkey % 4 when 0 then ' Government of India ' when 1 then ' father ' else ' ' end, case p_partkey % 3 when 0 then 'Date of Birth' when 1 then 'aadhaar' else 'form' end)"
+
+
+@query(f"SELECT p_partkey FROM part WHERE len(list_filter([{', '.join(repr(m) for m in images.CARD_MARKERS)}], lambda m: contains(lower({_CARD_TEXT}), m))) >= 2")
+def identity_cards(spark, sf_dir):
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("i").alias("name"), F.expr(_CARD_TEXT).alias("text"))
+    return images.cards(rows).select(F.col("doc_id").alias("p_partkey"))
+
+
+@query(f"""WITH q AS ({span_sql('(SELECT doc_id, text FROM documents)', 'doc_id', '(?i)\\b(?:the that|of the|de la)\\b')}) SELECT DISTINCT doc_id, 'PHRASE' AS entity_type, "start", "end" FROM q""")
+def located_values(spark, sf_dir):
+    """Where known values stand in every document."""
+    docs = t(spark, sf_dir, "documents")
+    values = docs.select("doc_id", F.lit("PHRASE").alias("entity_type"), F.explode(F.array(F.lit("the that"), F.lit("of the"), F.lit("de la"))).alias("value"))
+    return evaluate.located(values, docs)
+
+
+@query("SELECT p AS phrase FROM (SELECT unnest(['Licensed', 'No such phrase', 'example.com']) AS p) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, p))")
+def missing_phrases(spark, sf_dir):
+    return verify.missing(t(spark, sf_dir, "documents"), ("Licensed", "No such phrase", "example.com"))
+
+
+@query("SELECT doc_id, 'body' AS part, 'line' AS kind, count(*) AS blocks, count(*) FILTER (trim(l) <> '') AS filled FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")
+def structure_counts(spark, sf_dir):
+    lines = t(spark, sf_dir, "documents").select("doc_id", F.lit("body").alias("part"), F.lit("line").alias("kind"), F.explode(F.split("text", "\n")).alias("text"))
+    return verify.structure(lines)
+
+
+_TERMS = ("large brushed tin", "tin", "small", "standard polished brass", "holdings", "registered office")
+_predicate("vocabulary_phrases", lambda: policy.is_vocabulary_phrase(_x(), F.array(*[F.lit(x) for x in _TERMS])), f"""len(string_split(n, ' ')) >= 2 AND NOT regexp_matches(n, '\\b(bank|limited|ltd|llp|corporation|incorporated|inc)\\b')
+    AND len(list_filter(regexp_extract_all(replace(n, '/', ' '), '[a-z]+'), lambda z: length(z) > 2 AND z NOT IN ('large', 'brushed', 'tin', 'small', 'standard', 'polished', 'brass', 'holdings', 'registered', 'office') AND z NOT IN {_in(policy.FILLERS)})) = 0""")
+_predicate("reference_vocabulary", lambda: policy.is_reference_vocabulary(_x(), F.array(F.lit("the national stock exchange of india limited"), F.lit("hindi and english"))), "lower(x) IN ('national stock exchange of india limited', 'hindi', 'india limited')")
+_predicate("structural_headings", lambda: policy.is_structural_heading(_x(), F.array(F.lit("THE NATIONAL STOCK EXCHANGE OF INDIA LIMITED"), F.lit("HINDI"))), "x IN ('National Stock Exchange of India Limited', 'Hindi')")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold e-mail addresses, and how they read without them."""
     return redacted_emails(spark, sf_dir).where("replacements > 0")

@@ -35,6 +35,7 @@ class Config:
     floor: float = rec.FLOOR
     models: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
     corpus_scope: bool = False
+    second_pass: bool = True
     headings: bool = True
 
 
@@ -57,7 +58,24 @@ class RedactionJob:
         found = rec.detect(texts, recognizers=c.recognizers, wanted=c.wanted, floor=c.floor)
         for model in c.models:
             found = found.unionByName(model(texts).select("doc_id", *DETECTED).where(F.col("score") >= c.floor))
-        return found
+        names = tuple(r for r in c.recognizers if r.entity_type in policy.NAMES)
+        return found.unionByName(self.detect_shouted(texts, names)) if c.second_pass and (names or c.models) else found
+
+    def detect_shouted(self, texts: DataFrame, names: tuple) -> DataFrame:
+        """Names in runs of capitals, read in title case near such runs; headings stay as they are."""
+        c = self.config
+        titles = vocabulary.heading_lines(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("titles"))
+        loud = texts.where(F.col("text").rlike(vocabulary.SHOUTED)).join(titles, "doc_id", "left")
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        recased = loud.select("doc_id", F.col("text").alias("_original"), vocabulary.truecased(F.col("text"), F.coalesce("titles", none)).alias("text"))
+        near = recased.select("doc_id", F.explode(vocabulary.shouted_windows(F.col("_original"))).alias("w"), "text")
+        cut = near.select("doc_id", F.col("w.start").alias("at"), spans.between(F.col("text"), F.col("w.start"), F.col("w.end")).alias("text"))
+        found = rec.detect(cut, keys=("doc_id", "at"), recognizers=names, wanted=c.wanted, floor=c.floor)
+        found = found.select("doc_id", "entity_type", (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"), "score")
+        for model in c.models:
+            found = found.unionByName(model(recased.select("doc_id", "text")).select("doc_id", *DETECTED[:4]).where(F.col("score") >= c.floor))
+        both = found.join(recased.select("doc_id", "_original"), "doc_id")
+        return both.select("doc_id", *DETECTED[:4], spans.between(F.col("_original"), F.col("start"), F.col("end")).alias("text"))
 
     def vocabulary(self, texts: DataFrame, rows: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
         """Per document terms, references and headings as arrays; and alias rows."""

@@ -136,6 +136,18 @@ def objects(media: DataFrame, tools: ImageTools) -> DataFrame:
     return media.select("doc_id", "part", "payload").mapInPandas(run, FINDINGS)
 
 
+def painted(media: DataFrame, boxes: DataFrame, tools: ImageTools) -> DataFrame:
+    """doc_id, part, payload of the images that have boxes, painted over by the plug-in."""
+    lists = boxes.groupBy("doc_id", F.col("name").alias("part")).agg(F.collect_list(F.array("l", "t", "r", "b")).alias("boxes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            new = [tools.paint(x, [tuple(map(int, y)) for y in b]) if tools.paint else x for x, b in zip(batch["payload"], batch["boxes"], strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "part": batch["part"], "payload": new})
+
+    return media.join(lists, ["doc_id", "part"]).select("doc_id", "part", "payload", "boxes").mapInPandas(run, "doc_id string, part string, payload binary")
+
+
 def is_logo(payload: bytes, tools: ImageTools, max_pixels: int = 400_000) -> bool:
     """A small graphic; without a size plug-in nothing is one."""
     if tools.size is None:
