@@ -27,6 +27,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def strings(values: tuple[str, ...]) -> Column:
+    """An array of literals, made in one call."""
+    return F.expr("array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")")
+
+
 def bounded(pattern: str) -> str:
     return f"{LEFT}(?:{pattern}){RIGHT}"
 

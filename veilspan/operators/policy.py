@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions import text as shape
-from veilspan.functions.spans import EDGE, let
+from veilspan.functions.spans import EDGE, let, strings
 
 # Institutions that are public by nature, in lower case.
 PUBLIC_BODIES = (
@@ -92,7 +92,7 @@ def _any(phrases: tuple[str, ...]) -> str:
 def fits_type(entity_type: Column, value: Column) -> Column:
     """Whether a span of a structured type is shaped like it."""
     return (
-        F.when(entity_type.isin(*DIGIT_TYPES), value.rlike("[0-9]"))
+        F.when(F.array_contains(strings(DIGIT_TYPES), entity_type), value.rlike("[0-9]"))
         .when(entity_type == "EMAIL_ADDRESS", F.contains(value, F.lit("@")))
         .when(entity_type.isin("URL", "WEB_ADDRESS"), F.contains(value, F.lit(".")) & (shape.word_count(value) <= 4))
         .when(entity_type == "IN_IFSC", (shape.word_count(value) == 1) & value.rlike("[0-9]"))
@@ -118,14 +118,14 @@ def is_transaction_reference(value: Column, before: Column) -> Column:
 def is_malformed(entity_type: Column, value: Column) -> Column:
     """A name that swallowed layout, or is mostly digits."""
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    return entity_type.isin(*NAMES) & (value.rlike(MALFORMED) | (digits > F.length(value) * 0.4))
+    return F.array_contains(strings(NAMES), entity_type) & (value.rlike(MALFORMED) | (digits > F.length(value) * 0.4))
 
 
 def is_field_label(value: Column) -> Column:
     """At most four words, all from captions."""
     normal = shape.normalised(value)
     words = shape.letters_list(normal)
-    return (shape.word_count(normal) <= 4) & (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*CAPTION_WORDS))
+    return (shape.word_count(normal) <= 4) & (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(strings(CAPTION_WORDS), w))
 
 
 def term_words(terms: Column) -> Column:
@@ -139,7 +139,7 @@ def is_vocabulary_phrase(value: Column, terms: Column) -> Column:
     longest = F.array_sort(terms, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     padded = F.concat(F.lit(" "), F.replace(normal, F.lit("/"), F.lit(" ")), F.lit(" "))
     rest = F.aggregate(longest, padded, lambda s, t: F.replace(s, F.concat(F.lit(" "), t, F.lit(" ")), F.lit(" ")))
-    words = F.filter(F.regexp_extract_all(rest, F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*FILLERS))
+    words = F.filter(F.regexp_extract_all(rest, F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.array_contains(strings(FILLERS), w))
     return (F.size(terms) > 0) & (shape.word_count(normal) >= 2) & ~normal.rlike(ORGANISATION_WORD) & (F.size(F.array_except(words, term_words(terms))) == 0)
 
 
@@ -148,22 +148,21 @@ def is_prose(entity_type: Column, value: Column) -> Column:
     words = shape.word_list(value)
     shouted = (F.upper(value) == value) & value.rlike(r"\p{L}")
     small = F.size(F.filter(words, lambda w: w.rlike("^[a-z]")))
-    return entity_type.isin(*NAMES) & (F.size(words) >= 3) & F.when(shouted, value.rlike(PROSE_GRAMMAR)).otherwise(small / F.size(words) > PROSE_SHARE)
+    return F.array_contains(strings(NAMES), entity_type) & (F.size(words) >= 3) & F.when(shouted, value.rlike(PROSE_GRAMMAR)).otherwise(small / F.size(words) > PROSE_SHARE)
 
 
 def is_public_body(value: Column) -> Column:
     """P10: a public body's name, or a phrase that holds one of more than four characters."""
     normal = shape.normalised(value)
     long = _any(tuple(b for b in PUBLIC_BODIES if len(b) > 4))
-    return normal.isin(*PUBLIC_BODIES) | normal.rlike(rf"(?<![a-z0-9])(?:{long})(?![a-z0-9])")
+    return F.array_contains(strings(PUBLIC_BODIES), normal) | normal.rlike(rf"(?<![a-z0-9])(?:{long})(?![a-z0-9])")
 
 
 def completes_public_body(value: Column, before: Column) -> Column:
     """The tail of a public body's name that the words before it complete."""
     tail = shape.normalised(F.concat(F.coalesce(F.right(before, F.lit(PRECEDING)), F.lit("")), value))
     both = F.struct(shape.normalised(value).alias("own"), tail.alias("tail"))
-    bodies = F.array(*[F.lit(b) for b in PUBLIC_BODIES])
-    return let(both, lambda x: (x["own"] != "") & F.exists(bodies, lambda b: F.endswith(x["tail"], b) & F.endswith(b, x["own"]) & (b != x["own"])))
+    return let(both, lambda x: (x["own"] != "") & F.exists(strings(PUBLIC_BODIES), lambda b: F.endswith(x["tail"], b) & F.endswith(b, x["own"]) & (b != x["own"])))
 
 
 def is_defined_term(value: Column, terms: Column) -> Column:
@@ -198,7 +197,7 @@ def is_structural_heading(value: Column, headings: Column) -> Column:
 def is_shell(value: Column) -> Column:
     """Only filler words of company names."""
     words = F.filter(shape.letters_list(value), lambda w: F.length(w) >= 3)
-    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*SHELL_WORDS))
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(strings(SHELL_WORDS), w))
 
 
 def is_bare_place(entity_type: Column, value: Column) -> Column:
@@ -222,13 +221,13 @@ def decision(entity_type: Column, value: Column, before: Column | None = None, t
     before = F.lit("") if before is None else before
     terms, references, headings = _list(terms), _list(references), _list(headings)
     uncapitalised = F.lit(False) if uncapitalised is None else F.coalesce(uncapitalised, F.lit(False))
-    x, name = F.trim(value), entity_type.isin(*NAMES)
+    x, name = F.trim(value), F.array_contains(strings(NAMES), entity_type)
     small = (F.lower(x) == x) & x.rlike(r"\p{L}")
     return (
         F.when(F.coalesce(x, F.lit("")) == "", "empty")
         .when(~fits_type(entity_type, x), "not shaped like its type")
         .when(entity_type.isin("WEB_ADDRESS", "URL") & is_public_host(x), "public host")
-        .when(entity_type.isin(*ALWAYS), F.lit(None))
+        .when(F.array_contains(strings(ALWAYS), entity_type), F.lit(None))
         .when(F.length(x) < 3, "too short")
         .when(is_transaction_reference(x, before), "transaction reference")
         .when(is_malformed(entity_type, x), "malformed")
@@ -239,8 +238,8 @@ def decision(entity_type: Column, value: Column, before: Column | None = None, t
         .when(completes_public_body(x, before), "public body")
         .when(is_defined_term(x, terms), "document-defined term")
         .when(is_reference_vocabulary(x, references), "reference vocabulary")
-        .when(shape.normalised(x).isin(*LANGUAGES), "language name")
-        .when(shape.normalised(x).isin(*COMMON_WORDS), "common word")
+        .when(F.array_contains(strings(LANGUAGES), shape.normalised(x)), "language name")
+        .when(F.array_contains(strings(COMMON_WORDS), shape.normalised(x)), "common word")
         .when(name & is_structural_heading(x, headings), "heading")
         .when(name & is_shell(x), "company-name filler")
         .when(name & small, "lower case")
