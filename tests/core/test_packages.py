@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veilspan.operators import recognizers, verify
 from veilspan.plans import cli
 from veilspan.plans.redaction import Config, RedactionJob, redact
-from veilspan.sources import annotations, images, ooxml
+from veilspan.sources import annotations, images, ooxml, synthetic
 from veilspan.streaming import detect
 
 from .helpers import package, paragraph, table
@@ -157,3 +157,29 @@ def test_rewrite_keeps_runs_and_bytes_of_untouched_parts():
     assert xml.count("<w:r>") == 3 and xml.count("<w:b") >= 3 and ">Bo<" in xml and " stays" in xml
     same, none = ooxml.rewritten(content, {})
     assert none == {} and zipfile.ZipFile(io.BytesIO(same)).read("word/document.xml") == zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")
+
+
+def test_names_in_capitals_are_read_in_title_case(spark):
+    text = "TABLE OF CONTENTS LIMITED\nissued by ZENITH HARBOUR CEDAR LIMITED today\nTABLE OF CONTENTS LIMITED"
+    job = RedactionJob(Config(recognizers=recognizers.NAME_RULES))
+    found = job.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert {(r.entity_type, r.text) for r in found} == {("ORGANIZATION", "ZENITH HARBOUR CEDAR LIMITED")}
+    assert all(text[r.start : r.end] == r.text for r in found)
+
+
+def test_synthetic_documents_are_exact(spark):
+    docs = synthetic.documents(spark, 20, seed=3)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = synthetic.annotations(docs).collect()
+    assert len(marks) == 20 * len(synthetic.PLANTED) and all(texts[r.doc_id][r.start : r.end] == r.text for r in marks)
+    out = RedactionJob().run(docs.select("doc_id", "text"))
+    clean = {r.doc_id: r.text for r in out.texts.collect()}
+    assert all(r.text not in clean[r.doc_id] for r in marks)
+    assert all(synthetic.DECOYS.split(",")[0] in x for x in clean.values())
+
+
+def test_painting_is_a_plug_in(spark):
+    media = spark.createDataFrame([("d", "a", bytearray(b"x")), ("d", "b", bytearray(b"y"))], "doc_id string, part string, payload binary")
+    boxes = spark.createDataFrame([("d", "a", 1, 2, 3, 4)], "doc_id string, name string, l int, t int, r int, b int")
+    out = images.painted(media, boxes, images.ImageTools(paint=lambda x, b: x + repr(b).encode())).collect()
+    assert [(r.part, bytes(r.payload)) for r in out] == [("a", b"x[(1, 2, 3, 4)]")]
