@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.tables import partitions, staged, table
+from veilspan.llm.tables import partitions, small_batches, staged, table
 from veilspan.llm.words import Words, mix, slices
 
 WORDS = 5
@@ -279,6 +279,11 @@ def _joining_links(percent: int):
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest linked id, itself included), kept."""
+    with small_batches(df.sparkSession):
+        return _near_duplicates(df, percent, id_column, text_column)
+
+
+def _near_duplicates(df: DataFrame, percent: int, id_column: str, text_column: str) -> DataFrame:
     spark = df.sparkSession
     t = needed(K, percent / 100)
     signed = staged(signatures(df, id_column, text_column), "signatures")
