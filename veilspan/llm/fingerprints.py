@@ -24,7 +24,7 @@ from veilspan.llm.near_dedup import WORDS, shingle_sets
 from veilspan.llm.tables import bucket_of, order_cuts, partitions, table
 from veilspan.llm.words import raw, slices
 
-K = 128
+K = 256
 NULL_ID = -(1 << 63)
 _U = np.uint64
 _FULL = float(1 << 63)
@@ -109,9 +109,9 @@ def with_neighbours(df: DataFrame, id_column: str, text_column: str) -> DataFram
     dealt = rows.withColumn("bucket", bucket_of(F.col("key"), cuts)).withColumn("kind", F.lit(1))
     tops = sorted(tuple(x) for x in dealt.groupBy("bucket").agg(F.max("key")).collect())  # a row for each range
     leads = [(key, after) for (_, key), (after, _) in zip([tops[-1], *tops[:-1]], tops, strict=True)] if tops else []
-    target = F.create_map(*[F.lit(x) for lead in leads for x in lead]) if leads else None
     if leads:
-        lead = rows.where(F.col("key").isin([key for key, _ in leads])).withColumn("bucket", target[F.col("key")].cast("int")).withColumn("kind", F.lit(0))
+        few = F.broadcast(spark.createDataFrame(leads, "key long, bucket int"))  # a row for each range, so at most as many as partitions
+        lead = rows.join(few, "key").withColumn("kind", F.lit(0))
         dealt = dealt.unionByName(lead.select("key", "text", "bucket", "kind"))
     return dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("kind", "key", "text").select("kind", "key", "text")
 
