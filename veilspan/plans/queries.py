@@ -593,21 +593,30 @@ def redact_conversations(spark, sf_dir):
 # -- evaluation ----------------------------------------------------------------------------------
 
 _MARKED = "(SELECT o_orderkey % 499 AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION' ELSE 'ORGANIZATION' END AS ty, CAST((o_orderkey * 40) % 4000 AS INT) AS s, CAST((o_orderkey * 40) % 4000 + 8 + o_custkey % 20 AS INT) AS e, o_orderkey FROM orders WHERE o_orderkey % 32 < 4)"
-_FOUND = f"(SELECT doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 'PERSON' ELSE ty END AS ty, CAST(s + o_orderkey % 7 - 3 AS INT) AS s, CAST(CASE WHEN o_orderkey % 4 = 0 THEN e + 30 ELSE e - o_orderkey % 9 END AS INT) AS e FROM {_MARKED} WHERE o_orderkey % 11 <> 0)"
+_ALL_MARKED = _MARKED.replace(" WHERE o_orderkey % 32 < 4", "")
+_FOUND, _ALL_FOUND = (
+    f"(SELECT doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 'PERSON' ELSE ty END AS ty, CAST(s + o_orderkey % 7 - 3 AS INT) AS s, CAST(CASE WHEN o_orderkey % 4 = 0 THEN e + 30 ELSE e - o_orderkey % 9 END AS INT) AS e FROM {marked} WHERE o_orderkey % 11 <> 0)"
+    for marked in (_MARKED, _ALL_MARKED)
+)
 
 
-def _scored(spark, sf_dir, criterion):
+def _scored(spark, sf_dir, criterion, found=_FOUND, marked=_MARKED):
     def side(sql):
         return spark.sql(f"SELECT DISTINCT doc_id, ty AS entity_type, s AS start, e AS `end` FROM {sql.replace('FROM orders', 'FROM {orders}')} x WHERE e > s", orders=t(spark, sf_dir, "orders"))
 
-    return evaluate.matched(side(_FOUND), side(_MARKED), criterion)
+    return evaluate.matched(side(found), side(marked), criterion)
+
+
+def _scored_all(spark, sf_dir, criterion):
+    """Every row of orders, where _scored reads the eighth that its SQL reads."""
+    return _scored(spark, sf_dir, criterion, _ALL_FOUND, _ALL_MARKED)
 
 
-def _match_sql(criterion: str) -> str:
+def _match_sql(criterion: str, found: str = _FOUND, marked: str = _MARKED) -> str:
     contain, any_type = evaluate.CRITERIA[criterion]
     covers = "d.s <= a.s AND d.e >= a.e" if contain else "false"
-    return f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, ty) AS n FROM (SELECT DISTINCT doc_id, ty, s, e FROM {_MARKED} WHERE e > s)),
-    d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, ty) AS n FROM (SELECT DISTINCT doc_id, ty, s, e FROM {_FOUND} WHERE e > s)),
+    return f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, ty) AS n FROM (SELECT DISTINCT doc_id, ty, s, e FROM {marked} WHERE e > s)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, ty) AS n FROM (SELECT DISTINCT doc_id, ty, s, e FROM {found} WHERE e > s)),
     o AS (SELECT a.doc_id, a.n, d.n AS dn, least(a.e, d.e) - greatest(a.s, d.s) AS w, {covers} AS c FROM a JOIN d ON a.doc_id = d.doc_id AND least(a.e, d.e) > greatest(a.s, d.s) {'' if any_type else 'AND a.ty = d.ty'}
           WHERE ({covers}) OR (2 * (least(a.e, d.e) - greatest(a.s, d.s)) >= a.e - a.s AND 2 * (least(a.e, d.e) - greatest(a.s, d.s)) >= d.e - d.s)),
     l AS (SELECT doc_id, n, list({{'dn': dn, 'c': c}} ORDER BY w DESC, dn) AS cs FROM o GROUP BY ALL),
@@ -629,21 +638,20 @@ def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
 for _criterion in evaluate.CRITERIA:
     QUERIES[f"score_{_criterion}"] = lambda spark, sf_dir, c=_criterion: evaluate.per_type(_scored(spark, sf_dir, c))
     ORACLE[f"score_{_criterion}"] = f"{_match_sql(_criterion)} SELECT entity_type, tp, fp, fn FROM k"
+    QUERIES[f"score_{_criterion}_all"] = lambda spark, sf_dir, c=_criterion: evaluate.per_type(_scored_all(spark, sf_dir, c))
+    ORACLE[f"score_{_criterion}_all"] = f"{_match_sql(_criterion, _ALL_FOUND, _ALL_MARKED)} SELECT entity_type, tp, fp, fn FROM k"
 
 
-@query(f"{_match_sql('strict')}, x AS (SELECT *, {_RATES} FROM k) SELECT entity_type, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy FROM x")
-def per_type_metrics(spark, sf_dir):
-    return _rounded(evaluate.rates(evaluate.per_type(_scored(spark, sf_dir, "strict"))))
-
-
-@query(f"{_match_sql('relaxed')}, x AS (SELECT *, {_RATES} FROM (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM k)) SELECT tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy FROM x")
-def micro_metrics(spark, sf_dir):
-    return _rounded(evaluate.micro(evaluate.per_type(_scored(spark, sf_dir, "relaxed"))))
+def _metric(name: str, criterion: str, metric: Callable[[DataFrame], DataFrame], tail: str) -> None:
+    """Registers a metric over the rows that its SQL reads, and as name_all over every row of orders."""
+    for key, scored, sides in ((name, _scored, ()), (f"{name}_all", _scored_all, (_ALL_FOUND, _ALL_MARKED))):
+        QUERIES[key] = lambda spark, sf_dir, scored=scored: _rounded(metric(evaluate.per_type(scored(spark, sf_dir, criterion))))
+        ORACLE[key] = f"{_match_sql(criterion, *sides)}, {tail}"
 
 
-@query(f"{_match_sql('coverage')}, x AS (SELECT *, {_RATES} FROM k) SELECT round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1 FROM x")
-def macro_metrics(spark, sf_dir):
-    return _rounded(evaluate.macro(evaluate.per_type(_scored(spark, sf_dir, "coverage"))))
+_metric("per_type_metrics", "strict", evaluate.rates, f"x AS (SELECT *, {_RATES} FROM k) SELECT entity_type, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy FROM x")
+_metric("micro_metrics", "relaxed", evaluate.micro, f"x AS (SELECT *, {_RATES} FROM (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM k)) SELECT tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(accuracy, 9) AS accuracy FROM x")
+_metric("macro_metrics", "coverage", evaluate.macro, f"x AS (SELECT *, {_RATES} FROM k) SELECT round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1 FROM x")
 
 
 @query(f"SELECT p_partkey, {_MASK.format(x='x')} AS masked FROM {_PHRASES}")
