@@ -52,3 +52,15 @@ def test_entry_stands_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": str(tmp_path / "r")}, capture_output=True, text=True)
     assert out.stdout.split()[-3:] == [str(len(queries.QUERIES)), str(len(queries.ORACLE)), "False"], out.stderr
+
+
+NAMES = "Mr. Rolf Amberson of Zenith Harbour Limited lives at 12 Cedar Hill Road and met Ms Ida Quill there.\nMR ROLF AMBERSON SIGNED FOR ZENITH HARBOUR LIMITED TODAY.\n"
+
+
+@pytest.mark.parametrize(("name", "columns"), [("redact_documents", "1L AS doc_id"), ("redact_conversations", "1L AS conv_id, 1 AS turn")])
+def test_whole_job_replaces_names(spark, tmp_path, name, columns):
+    spark.createDataFrame([(NAMES,)], "text string").selectExpr(*columns.split(", "), "text").write.parquet(f"{tmp_path}/{name.removeprefix('redact_')}.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path)).first()
+    for x in ("Rolf Amberson", "Zenith Harbour Limited", "12 Cedar Hill Road", "Ida Quill", "ROLF AMBERSON"):
+        assert x not in got.text
+    assert got.replacements

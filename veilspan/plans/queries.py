@@ -578,16 +578,21 @@ def residual_leaks(spark, sf_dir):
     return verify.leaks(redaction.emails_only(docs), known)
 
 
+def _with_names() -> redaction.Config:
+    """All recognizers with the rule candidates for names, so the second pass over capitals runs too."""
+    return redaction.Config(recognizers=(*recognizers.DEFAULT, *recognizers.NAME_RULES))
+
+
 @query()
 def redact_documents(spark, sf_dir):
     """The whole job over documents: rewritten texts."""
-    return redaction.redact(t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return redaction.redact(t(spark, sf_dir, "documents").select("doc_id", "text"), _with_names())
 
 
 @query()
 def redact_conversations(spark, sf_dir):
     rows = t(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
-    return redaction.redact(rows)
+    return redaction.redact(rows, _with_names())
 
 
 # -- evaluation ----------------------------------------------------------------------------------
