@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import spans, text, validators
 from veilspan.operators import recognizers
+from veilspan.plans import redaction
 
 VECTORS = [
     ("IN_AADHAAR", "3141 5926 5351", True), ("IN_AADHAAR", "3141 5926 5352", False), ("IN_AADHAAR", "0141 5926 5351", False), ("IN_AADHAAR", "314159265351", True),
@@ -98,3 +99,23 @@ def test_text_shapes(col):
     assert col(text.key(F.col("v")), v="  A \n b ") == "a b"
     assert col(text.normalised(F.col("v")), v="“The  Equity Shares.”") == "equity shares"
     assert col(text.titled(F.col("v")), v="TABLE OF O'NEIL-X & é") == "Table Of O'Neil-X & é"
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "found"),
+    [
+        ("mobile 09876543210, 98765 43210 or 91-9876543210", "IN_MOBILE", ["09876543210", "98765 43210", "91-9876543210"]),
+        ("folio 12345 67890, 1234567890, x9876543210, 98765432101", "IN_MOBILE", []),
+        ("Tel: 022 2345 6789 or (0265) 234 5678, fax 04142-234567", "PHONE_NUMBER", ["022 2345 6789", "(0265) 234 5678", "04142-234567"]),
+        ("folio 022 2345 6789 of the register", "PHONE_NUMBER", []),
+        ("Tel: 02223456789 and +91 22 2345 6789", "PHONE_NUMBER", ["02223456789", "+91 22 2345 6789"]),
+    ],
+)
+def test_national_numbers(spark, value, kind, found):
+    test_recognizers(spark, value, kind, found)
+
+
+def test_national_numbers_are_redacted(spark):
+    text = "Tel: 022 2345 6789 or mobile 09876543210."
+    got = redaction.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.replacements == 2 and "2345 6789" not in got.text and "9876543210" not in got.text

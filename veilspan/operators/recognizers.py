@@ -98,13 +98,22 @@ GENERAL = (
     Recognizer("PHONE_NUMBER", r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,5}[ -]?\d{3,5}(?![A-Za-z0-9_])", 0.75, whole=False, needs="+"),
     Recognizer("IBAN_CODE", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 0.50, validator=validators.is_iban),
 )
+#: Telephone numbers of India without a country code: mobiles by their first digit, others by area code and a cue word.
+NATIONAL = (
+    Recognizer("IN_MOBILE", r"(?<![A-Za-z0-9_+])(?:91[ -]?|0)?[6-9]\d{4}[ -]?\d{5}(?![A-Za-z0-9_])", 0.40, validator=validators.is_mobile, whole=False),
+    Recognizer(
+        "PHONE_NUMBER",
+        r"(?<![A-Za-z0-9_+])(?:\(0[1-9]\d\)|0[1-9]\d)[ -]?\d{4}[ -]?\d{4}(?![A-Za-z0-9_])|(?<![A-Za-z0-9_+])(?:\(0[1-9]\d{2}\)|0[1-9]\d{2})[ -]?\d{3}[ -]?\d{4}(?![A-Za-z0-9_])|(?<![A-Za-z0-9_+])(?:\(0[1-9]\d{3}\)|0[1-9]\d{3})[ -]?\d{3}[ -]?\d{3}(?![A-Za-z0-9_])",
+        0.30, ("tel", "telephone", "phone", "ph", "fax", "call", "landline", "contact"), whole=False,
+    ),
+)
 #: Rule candidates for names and organisations where no model is plugged in: capitalised runs with a cue.
 NAME_RULES = (
     Recognizer("ORGANIZATION", r"[A-Z][A-Za-z&.'\-]*(?: (?:and|of|&|[A-Z][A-Za-z&.'\-]*)){0,5} (?:Limited|Ltd|LLP|Bank|Corporation|Inc|Holdings|Trust)", 0.60),
     Recognizer("PERSON", r"(?<![A-Za-z0-9_])(?<=(?:Mr|Ms|Dr)\.? )[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}(?![A-Za-z0-9_])", 0.60, whole=False),
     Recognizer("LOCATION", r"\d{1,4}[A-Za-z]?,? [A-Z][a-z]+(?: [A-Z][a-z]+){0,2} (?:Road|Street|Lane|Marg|Nagar|Avenue)", 0.50),
 )
-DEFAULT = (*IDENTIFIERS, *BIRTH_DATES, *SWEEPS, *GENERAL)
+DEFAULT = (*IDENTIFIERS, *BIRTH_DATES, *SWEEPS, *GENERAL, *NATIONAL)
 
 
 def detections(text: Column, recognizers: Iterable[Recognizer] = DEFAULT, wanted: Iterable[str] | None = None, floor: float = FLOOR) -> Column:
