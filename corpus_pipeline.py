@@ -3,7 +3,7 @@
 Each stage gets what its predecessor kept as a table with the columns of `documents`
 (doc_id, text, lang, source, n_chars; others are dropped) and returns the same columns, the last
 the rows of the packing operator. Null texts, null ids, repeated rows and empty tables go
-through as the operators define them. run() writes every stage as Parquet to the shared
+through as the operators define them; near-dedup takes each row for a document, whatever its id. run() writes every stage as Parquet to the shared
 folder and reads it again, so a lost executor costs no earlier stage.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import language_id, near_dedup, packing, quality, substring_dedup
-from veilspan.llm.tables import staged, table
+from veilspan.llm.tables import partitions, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILARITY_PERCENT = 80
@@ -32,11 +32,16 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies; rows without an id stay."""
-    found = near_dedup.near_duplicates(docs, SIMILARITY_PERCENT)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    return stay.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """One row of each group of near copies: that of the smallest doc_id, a row without an id only if no other has one.
+
+    Rows count, not ids: each gets a key of its own, so repeated ids, and null ones, are told apart. Keys follow
+    the order of ids, null last, which the operator's smallest member needs; the staged table fixes them.
+    """
+    order = F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()
+    dealt = docs.select(*COLUMNS).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    keyed = staged(dealt.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    kept = near_dedup.near_duplicates(keyed, SIMILARITY_PERCENT, id_column="_row").where("kept").select(F.col("doc_id").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,14 @@ def test_odd_rows_go_through(spark, odd, nothing):
 def test_registered_queries():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c, short = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 40), ("b", 40), ("c", 40), ("s", 8)))
+    near = a + " tail"
+    docs = [(1, a), (1, a), (2, near), (3, b), (3, a), (None, a), (None, c), (None, c), (4, short), (4, short), (5, ""), (6, None), (7, b)]
+    df = spark.createDataFrame([(d, x, "en", "s", 1) for d, x in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_copies(spark, df.repartition(3), SF)
+    assert got.columns == list(cp.COLUMNS)
+    assert sorted(rows(got), key=str) == sorted([(1, a), (3, b), (None, c), (4, short), (5, ""), (6, None)], key=str)
+    assert cp.drop_near_copies(spark, df.where("false"), SF).count() == 0
