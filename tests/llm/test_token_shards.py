@@ -49,3 +49,9 @@ def test_a_cut_file_is_refused(tmp_path):
     with pytest.raises(ValueError):
         ts.ShardReader(f"file://{tmp_path}/y.tok")
     assert not list(tmp_path.glob("*.part"))
+
+
+def test_unique_keys_are_read_where_the_index_says():
+    assert ts.chosen(np.array([2, 0, 1]), np.array([5, 7, 9])).tolist() == [2, 0, 1]
+    assert ts.chosen(np.array([0, 0, 2, 2]), np.array([5, 5, 9, 9])).tolist() == [0, 1, 2, 3]
+    assert ts.chosen(np.zeros(0, int), np.zeros(0, np.int64)).tolist() == []

@@ -202,6 +202,12 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_column: str = "d
     return staged(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "shards")
 
 
+def chosen(place: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places to read: the index's for the first row of each key, the row's own for later ones. keys: ascending."""
+    later = np.concatenate([np.zeros(min(1, len(keys)), bool), keys[1:] == keys[:-1]])
+    return np.where(later, np.arange(len(keys)), place)
+
+
 def read_shards(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """All documents of the files: id_column, start (ids of all documents before), n_tokens, ids_crc32.
 
@@ -213,10 +219,10 @@ def read_shards(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader = ShardReader(path)
-                place, own = reader.index.find(reader.keys), np.arange(len(reader.keys))
+                place = reader.index.find(reader.keys)
                 if (place < 0).any() or (reader.keys[place] != reader.keys).any():
                     raise ValueError(f"the index of {path} doesn't fit its keys")
-                place = np.where(place == own, place, own)
+                place = chosen(place, reader.keys)
                 for a in range(0, len(place), 10_000):
                     some = place[a : a + 10_000]
                     crc = [zlib.crc32(reader.ids(int(p))) for p in some]
