@@ -37,7 +37,41 @@ def test_ids_and_texts_are_the_library_s(both, texts):
 def test_tree_concatenation_of_one_long_piece(both, text):
     coder, library = both
     piece = coder.pieces(text)[0]
-    assert coder.tree.encode(piece, 4) == library.encode(text, add_special_tokens=False).ids
+    assert coder.tree.encode(piece, 4).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+#: Letters and marks of scripts whose symbols take two bytes and more, and what joins or ends them.
+SCRIPTS = st.sampled_from([
+    "".join(map(chr, range(0x4E00, 0x4E40))),
+    "".join(map(chr, range(0x3041, 0x3080))),
+    "".join(map(chr, range(0x3B1, 0x3CA))),
+    "".join(map(chr, range(0x905, 0x94D))),
+    "éèüößñçãåâîíĀžşőABCabc",
+    "aeiou\u0327\u0301\u0308",
+    "😀👩\u200d🏽🇮🇳",
+    "</w>|endoftx",
+])
+
+
+@settings(max_examples=120, deadline=None)
+@given(SCRIPTS.flatmap(lambda letters: st.tuples(st.just(letters), st.integers(33, 5000), st.randoms(use_true_random=False))), st.sampled_from([4, 32]))
+def test_long_runs_of_other_scripts(both, run, leaf):
+    letters, size, draw = run
+    coder, library = both
+    text = "".join(draw.choice(letters) for _ in range(size))
+    want = library.encode(text, add_special_tokens=False).ids
+    ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(coder.tree.encode(x, leaf), np.uint32) for x in coder.pieces(text))])
+    assert ids.tolist() == want or any(x in text for x in coder.special)
+    ids, at = coder.encode(pa.array([text, None, text + " end"]))
+    assert ids[: at[1]].tolist() == want and at[1] == at[2]
+    assert coder.decode(ids, at)[0] == library.decode(want, skip_special_tokens=False)
+
+
+def test_a_million_symbols_without_a_split(both):
+    coder, library = both
+    draw = np.random.default_rng(3)
+    text = "".join(map(chr, draw.integers(0x4E00, 0x4F00, 400_000)))
+    assert coder.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_a_worker_that_forgets_gives_the_same_ids(monkeypatch):

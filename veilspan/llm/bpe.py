@@ -6,10 +6,10 @@ white space and ASCII white space, or between an ASCII letter and ASCII punctuat
 special token crosses such a cut, so a text's ids are the ids of its units in order.
 Each distinct unit of a batch is encoded once.
 
-A unit with a piece longer than leaf_chars is encoded by tree concatenation: the piece
-is halved until the halves are short, all leaves are encoded in one parallel call, and at
+The pieces of a unit longer than leaf_chars are encoded by tree concatenation: a piece
+is halved until the halves are short, all leaves are encoded in parallel calls, and at
 each join a growing window of tokens is encoded again until its first and last tokens
-equal those of the two halves. In BPE by ranks, a row of tokens is the encoding of its
+equal those of the two halves; the windows of a level are encoded in parallel too. In BPE by ranks, a row of tokens is the encoding of its
 text exactly if each adjacent pair is the encoding of that pair's text, so the joined
 row is then exact.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from veilspan.llm.tables import table
 from veilspan.llm.words import raw, slices
 
 LEAF_CHARS = 32
+CALL_TEXTS = 1 << 16  # leaves or windows that go to the library in one call
 UNIT_BYTES = 8 << 20  # of text whose units are encoded at once
 KNOWN_UNITS = 600_000  # units whose ids a worker keeps at most
 
@@ -61,36 +63,66 @@ def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class TreeEncoder:
-    """Encodes one piece (text that the tokenizer would not split) by tree concatenation."""
+    """Encodes one piece (text that the tokenizer would not split) by tree concatenation.
+
+    A node holds the ids of its part of the piece and how many symbols each id covers,
+    from the tokens themselves: offsets of the library count bytes, not symbols.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str | None):
-        self.suffix = suffix
-        self.inner = models.BPE(vocab, merges)
-        self.last = models.BPE(vocab, merges, end_of_word_suffix=suffix) if suffix else self.inner
-
-    def tokens(self, symbols: str, final: bool) -> list[tuple[int, str]]:
-        found = (self.last if final else self.inner).tokenize(symbols)
-        return [(t.id, symbols[t.offsets[0] : t.offsets[1]]) for t in found]
-
-    def join(self, left: list, right: list, final: bool) -> list:
-        """Ids and spans of both halves' text, from their own encodings."""
-        width = 2
-        while True:
-            a, b = max(0, len(left) - width), min(len(right), width)
-            window = left[a:] + right[:b]
-            again = self.tokens("".join(x for _, x in window), final and b == len(right))
-            agree_left = a == 0 or (again and again[0] == left[a])
-            agree_right = b == len(right) or (again and again[-1] == right[b - 1])
-            if agree_left and agree_right:
-                return left[:a] + again + right[b:]
-            width *= 2
-
-    def encode(self, symbols: str, leaf: int = LEAF_CHARS) -> list[int]:
-        parts = [symbols[i : i + leaf] for i in range(0, len(symbols), leaf)]
-        level = [(self.tokens(x, i == len(parts) - 1), i == len(parts) - 1) for i, x in enumerate(parts)]
+        self.suffix = len(suffix or "")
+        self.inner = Tokenizer(models.BPE(vocab, merges))
+        self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=suffix)) if suffix else self.inner
+
+    def _coded(self, texts: list[str], final: list[bool]) -> list[tuple[array, array]]:
+        """Nodes of all texts, the final ones with the ending that only a piece's end has; the library encodes a call's texts in parallel."""
+        out: list[tuple[array, array]] = [(array("I"), array("I"))] * len(texts)
+        for coder, ends in ((self.inner, False), (self.last, True)):
+            at = [i for i, x in enumerate(final) if x == ends]
+            for k in range(0, len(at), CALL_TEXTS):
+                some = at[k : k + CALL_TEXTS]
+                for i, found in zip(some, coder.encode_batch([texts[i] for i in some], add_special_tokens=False), strict=True):
+                    sizes = array("I", map(len, found.tokens))
+                    if ends and len(sizes):
+                        sizes[-1] -= self.suffix
+                    out[i] = array("I", found.ids), sizes
+        return out
+
+    def _joined(self, symbols: str, edges: list[int], level: list[tuple[array, array]]) -> list[tuple[array, array]]:
+        """Each two neighbours of a level as one; edges: where the level's parts start, and the piece's end."""
+        out = [level[i] for i in range(0, len(level), 2)]
+        open_, width = [i for i in range(0, len(level) - 1, 2)], 2
+        while open_:
+            spans, texts = [], []
+            for i in open_:
+                (left, left_sizes), (right, right_sizes) = level[i], level[i + 1]
+                a, b = max(0, len(left) - width), min(len(right), width)
+                spans.append((a, b))
+                texts.append(symbols[edges[i + 1] - sum(left_sizes[a:]) : edges[i + 1] + sum(right_sizes[:b])])
+            final = [i + 2 == len(level) and b == len(level[i + 1][0]) for i, (_, b) in zip(open_, spans)]
+            still = []
+            for i, (a, b), (again, sizes) in zip(open_, spans, self._coded(texts, final), strict=True):
+                (left, left_sizes), (right, right_sizes) = level[i], level[i + 1]
+                if (a == 0 or again[0] == left[a]) and (b == len(right) or again[-1] == right[b - 1]):
+                    out[i // 2] = left[:a] + again + right[b:], left_sizes[:a] + sizes + right_sizes[b:]
+                else:
+                    still.append(i)
+            open_, width = still, 2 * width
+        return out
+
+    def encode(self, symbols: str, leaf: int = LEAF_CHARS) -> array:
+        """Ids of a whole piece: it is halved until no part is longer than leaf, and joined level by level."""
+        if not symbols:
+            return array("I")
+        depth = 0
+        while -(-len(symbols) >> depth) > leaf:
+            depth += 1
+        edges = [len(symbols) * i >> depth for i in range((1 << depth) + 1)]
+        level = self._coded([symbols[a:b] for a, b in zip(edges[:-1], edges[1:])], [False] * ((1 << depth) - 1) + [True])
         while len(level) > 1:
-            level = [(self.join(level[i][0], level[i + 1][0], level[i + 1][1]), level[i + 1][1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return [k for k, _ in level[0][0]] if level else []
+            level = self._joined(symbols, edges, level)
+            edges = edges[::2]
+        return level[0][0]
 
 
 class Codec:
@@ -124,10 +156,9 @@ class Codec:
         found = iter(self.tokenizer.encode_batch(short, add_special_tokens=False))
         ids = [None if i in whole else next(found).ids for i in range(len(units))]
         for i in long:
-            out: list[int] = []
+            ids[i] = array("I")
             for piece in self.pieces(units[i]):
-                out += self.tree.encode(piece, self.leaf)
-            ids[i] = out
+                ids[i] += self.tree.encode(piece, self.leaf)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((k for x in ids for k in x), np.uint32, int(counts.sum()))
         return flat, counts
