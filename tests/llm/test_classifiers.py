@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from veilspan.llm import language_id, quality
@@ -33,7 +34,7 @@ def test_expectation_maximisation_recovers_accuracies():
 def test_votes_of_odd_texts():
     texts = ["", None, "word", "### " * 40, "AB!! " * 40, "a | b | c | d | e", "same same same same same", "Some plain words stand here, in order. They end well."]
     votes = quality.votes(Words(*raw(pa.array(texts, pa.string()))))
-    assert (votes[:2] == -1).all() and (votes[2] == 0).sum() > 5
+    assert (votes[:2] == 0).all() and (votes[2] == 0).sum() > 5
     assert (votes[3:7] < 0).any(1).all() and (votes[7] >= 0).all()
 
 
@@ -91,3 +92,20 @@ def test_odd_rows_language(spark, odd, nothing):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(nothing)).collect()} == {"und"}
     letters = spark.createDataFrame([(1, "123 !?"), (2, "好"), (3, "٣"), (4, "ª")], "doc_id long, text string")
     assert [r.lang_pred == "und" for r in language_id.identify(letters, model).orderBy("doc_id").collect()] == [True, False, True, False]
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 3)
+    docs = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id % 4) AS lang")
+    with pytest.raises(ValueError, match="more than 3"):
+        language_id.fit(docs)
+    assert language_id.fit(docs.where("doc_id % 4 < 3")).langs == ["l0", "l1", "l2"]
+
+
+def test_a_sample_of_copies_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_fit_linear", lambda rows, columns, values, target: seen.append(len(target)) or np.zeros(quality.DIMS + 1))
+    docs = spark.range(2000).selectExpr("7L AS doc_id", "'the same words stand in all of these rows.' AS text")
+    quality.fit(docs, sample=200)
+    quality.fit(docs, sample_bytes=200 * 42)
+    assert all(100 < n < 320 for n in seen) and len(seen) == 2

@@ -40,7 +40,8 @@ def test_main_path_is_native(spark):
 
 
 def test_a_hot_source_and_odd_rows(spark, odd, nothing, monkeypatch):
-    monkeypatch.setattr(sharding, "SLICES", 16)
+    monkeypatch.setattr(sharding, "MIN_SLICES", 16)
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 20)
     docs = spark.range(1000).selectExpr("id AS doc_id", "concat('t', id) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id < 20 THEN NULL ELSE concat('s', id % 7) END AS source")
     check_shards(sharding.stratified_shards(docs, 7).collect(), [r.source for r in docs.collect()], 7)
     rows = sharding.stratified_shards(odd).collect()
@@ -89,7 +90,41 @@ def test_batches_of_the_table_and_odd_rows(spark, odd, nothing):
     assert packing.packed(nothing, packing.word_count(nothing.text)).count() == 0
 
 
-def test_bins_are_bounded_and_hold_their_lengths(spark):
-    rows = spark.range(1, 300_000, 37).selectExpr("id").withColumn("top", packing.bin_top(F.col("id"))).collect()
-    assert all(r.id <= r.top <= r.id * (1 + 2 / packing.EXACT) + 1 for r in rows)
-    assert len({r.top for r in rows}) <= packing.EXACT * 10
+def slow_boundaries(tops, rows, tokens, buckets):
+    """Least padding with at most so many buckets, trying every cut."""
+    n = len(tops)
+    cost = lambda i, j: sum(int(tops[j - 1]) * int(rows[k]) - int(tokens[k]) for k in range(i, j))
+    table_ = [[cost(i, j) if i < j else 0 for j in range(n + 1)] for i in range(n + 1)]
+    best = [0] + [table_[0][j] for j in range(1, n + 1)]
+    for _ in range(1, min(buckets, n)):
+        best = [0] + [min(best[i] + table_[i][j] for i in range(j)) for j in range(1, n + 1)]
+    return best[n]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_boundaries_over_long_lengths_are_exact(seed):
+    rng = np.random.default_rng(seed)
+    tops = np.unique(rng.integers(1, 5_000_000, 60))
+    rows = rng.integers(1, 10**9, len(tops))
+    tokens = rows * tops
+    for buckets in (1, 2, 5, 8):
+        bounds = packing.optimal_boundaries(tops, rows, tokens, buckets)
+        padding = sum(int(bounds[np.searchsorted(bounds, t)]) * int(r) - int(k) for t, r, k in zip(tops, rows, tokens))
+        assert padding == slow_boundaries(tops, rows, tokens, buckets) and set(bounds) <= set(tops.tolist())
+
+
+def test_boundaries_of_many_lengths_take_seconds():
+    tops = np.arange(1, 200_001)
+    rows = np.random.default_rng(1).integers(1, 100, len(tops))
+    assert len(packing.optimal_boundaries(tops, rows, rows * tops, 8)) == 8
+
+
+def test_buckets_of_a_table_with_long_texts_pad_least(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "CAST(1 + id * id * 7 % 9001 AS INT) AS size")
+    rows = packing.packed(docs, F.col("size"), buckets=4).collect()
+    lengths = Counter(r.n_tokens for r in rows)
+    tops = np.array(sorted(lengths))
+    n = np.array([lengths[x] for x in tops])
+    assert sum(r.bucket_length - r.n_tokens for r in rows) == slow_boundaries(tops, n, n * tops, 4)
+    assert {r.bucket_length for r in rows} <= set(lengths)
+    check_batches(rows, packing.BUDGET)

@@ -31,6 +31,7 @@ from veilspan.llm.tables import table
 from veilspan.llm.words import slices
 
 SAMPLE = 5_000
+MAX_LANGS = 512
 DIMS = 1 << 15
 CODE_BITS = 15
 AMBIGUOUS = 0.1
@@ -126,9 +127,14 @@ def _added(rows: pa.Table) -> pa.Table:
 
 
 def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from the rows of df that have a language."""
+    """A model from the rows of df that have a language.
+
+    More than MAX_LANGS different values are no languages: they raise, so neither they nor their counts flood the driver.
+    """
     rows = df.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), F.col(id_column).alias("id"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}  # a row for each language
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{lang_column} has more than {MAX_LANGS} different values")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros((0, DIMS)), np.zeros(0))

@@ -4,11 +4,11 @@ Heuristic labellers vote good (+1), bad (-1) or nothing (0) on every whole text.
 accuracies and coverage are estimated without gold labels by expectation-maximisation over
 the counts of vote patterns in all documents (at most 3 ** 10 patterns reach the driver), with a prior that bad
 votes on good texts are rare. The
-posterior of each pattern labels a bounded sample (SAMPLE rows, those with the smallest
-seeded hashes by a threshold), on which a logistic scorer over hashed word shapes is trained; it then
+posterior of each pattern labels a bounded sample (SAMPLE rows and SAMPLE_BYTES of text as expected, by a
+seeded hash of each row's id and place), on which a logistic scorer over hashed word shapes is trained; it then
 scores every document.
 
-A null or empty text gets no vote but the one for having no words, and scores 0: rejected.
+A text without words, null or empty ones too, gets no vote and isn't trained on; it scores 0: rejected.
 Repeated rows score alike; ties at the threshold are kept; an empty table gives an empty
 one. Only the named columns are read.
 """
@@ -27,6 +27,7 @@ from veilspan.llm.tables import table
 from veilspan.llm.words import Words, mix, slices
 
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
 DIMS = 1 << 14
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "marks", "plain", "shouting", "bangs", "separators", "stutter", "chants", "variety", "sentences")
@@ -87,7 +88,7 @@ def votes(words: Words) -> np.ndarray:
         vote((variety < 0.3) & many & (n < 400), (variety > 0.5) & many),
         vote((ends < 0.005) & many, (ends > 0.02) & (ends < 0.5) & many),
     ]
-    return np.where((n > 0)[:, None], np.stack(out, 1), -1)
+    return np.stack(out, 1) * (n > 0)[:, None]
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -152,21 +153,24 @@ def expectation_maximisation(pattern: np.ndarray, rows: np.ndarray, steps: int =
     return model
 
 
-def weak_labels(df: DataFrame, text_column: str) -> WeakLabels | None:
+def weak_labels(df: DataFrame, text_column: str) -> tuple[WeakLabels | None, int, int]:
+    """The label model, and the rows and bytes of text that it saw."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3 ** len(LABELLERS), np.int64)
+        total, size = (np.zeros(3 ** len(LABELLERS), np.int64) for _ in range(2))
         for batch in batches:
             for _, data, bounds in slices(batch, text_column):
                 code = (votes(Words(data, bounds)) + 1) @ (3 ** np.arange(len(LABELLERS)))
                 total += np.bincount(code, minlength=len(total))
+                size += np.bincount(code, np.diff(bounds), len(total)).astype(np.int64)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pattern", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(size[at])], ["pattern", "n", "bytes"])
 
-    found = df.select(text_column).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
+    found = df.select(text_column).mapInArrow(run, "pattern long, n long, bytes long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).toPandas()
     if found.empty:
-        return None
+        return None, 0, 0
     pattern = found["pattern"].to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
-    return expectation_maximisation(pattern, found["n"].to_numpy())
+    return expectation_maximisation(pattern, found["n"].to_numpy()), int(found["n"].sum()), int(found["bytes"].sum())
 
 
 def _fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
@@ -182,9 +186,9 @@ def _fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, targe
     return w
 
 
-def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
-    """Weights of the scorer, or None for an empty table."""
-    labels = weak_labels(df, text_column)
+def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray | None:
+    """Weights of the scorer, or None for an empty table. sample and sample_bytes bound what is trained on."""
+    labels, rows, size = weak_labels(df, text_column)
     if labels is None:
         return None
 
@@ -193,13 +197,13 @@ def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sam
             for _, data, bounds in slices(batch, text_column):
                 words = Words(data, bounds)
                 target = labels.posterior(votes(words))
+                some = words.count > 0
                 idx, edge = features(words)
-                found = [np.unique(idx[a:b], return_counts=True) for a, b in zip(edge[:-1], edge[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in found], pa.list_(pa.int32())), pa.array([(c / max(1, c.sum())).tolist() for _, c in found], pa.list_(pa.float32())), pa.array(target)], ["idx", "share", "target"])
+                found = [np.unique(idx[a:b], return_counts=True) for a, b in zip(edge[:-1][some], edge[1:][some])]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in found], pa.list_(pa.int32())), pa.array([(c / max(1, c.sum())).tolist() for _, c in found], pa.list_(pa.float32())), pa.array(target[some])], ["idx", "share", "target"])
 
-    rows = df.count()
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(13), id_column), 11) / F.lit(float(1 << 53))
-    some = df.where(unit < min(1.0, sample / max(1, rows))).select(text_column)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(13), id_column, F.monotonically_increasing_id()), 11) / F.lit(float(1 << 53))
+    some = df.select(text_column, unit.alias("_unit")).where(F.col("_unit") < min(1.0, sample / max(1, rows), sample_bytes / max(1, size))).select(text_column)
     got = some.mapInArrow(run, "idx array<int>, share array<float>, target double").toArrow()
     if not len(got):
         return None

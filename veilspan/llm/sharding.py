@@ -22,7 +22,8 @@ from veilspan.llm.tables import staged, table
 
 SHARDS = 24
 SEED = 20240229
-SLICES = 1024  # of one source, and of all fractional ranks
+SLICE_ROWS = 1 << 18  # in a slice of one source or of all fractional ranks, on average
+MIN_SLICES = 1024  # fewer would leave cores idle
 
 
 def _unit(h: Column) -> Column:
@@ -30,6 +31,11 @@ def _unit(h: Column) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
+def slice_count(rows: int) -> int:
+    """How many slices so many rows are ranked in."""
+    return max(MIN_SLICES, -(-rows // SLICE_ROWS))
+
+
 def ranked(df: DataFrame, within: list[str], order: list[str], slice_column: str) -> DataFrame:
     """Adds rank (from 1) and group_rows: place by order among the rows of the same `within`.
 
@@ -50,6 +56,7 @@ def ranked(df: DataFrame, within: list[str], order: list[str], slice_column: str
 
 def stratified_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, source, law, shard, slot, grown_shard (null)."""
+    slices = slice_count(df.count())
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = df.select(
         F.col(id_column).cast("long").alias("doc_id"),
@@ -58,10 +65,10 @@ def stratified_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, i
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     rows = rows.withColumn("unit", _unit(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")))
-    rows = rows.withColumn("part", F.floor(F.col("unit") * SLICES).cast("int"))
+    rows = rows.withColumn("part", F.floor(F.col("unit") * slices).cast("int"))
     in_source = ranked(rows, ["source"], ["unit", "doc_id", "text_crc32", "size"], "part")
     fraction = (2 * F.col("rank") - 1) / (2 * F.col("group_rows"))
-    mixed = in_source.withColumn("fraction", fraction).withColumn("stretch", F.floor(F.col("fraction") * SLICES).cast("int"))
+    mixed = in_source.withColumn("fraction", fraction).withColumn("stretch", F.floor(F.col("fraction") * slices).cast("int"))
     mixed = staged(mixed.select("doc_id", "source", "size", "text_crc32", "unit", "fraction", "stretch"), "mixed")
     placed = ranked(mixed, [], ["fraction", "source", "unit", "doc_id", "text_crc32", "size"], "stretch")
     at = F.col("rank") - 1

@@ -22,17 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Where it is unset (tests on one machine), a temporary folder is made.
+    Where it is unset, a temporary folder is made on one machine; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="veilspan-")
         _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/veilspan-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/veilspan-{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application staged. DataFrames that read it are lost, so it is the last step of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:

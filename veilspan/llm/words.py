@@ -7,14 +7,16 @@ once; nulls count as empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two byte hashes
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two hash functions
 SLICE_BYTES = 2 << 20  # of text that is hashed at once; one longer text is hashed alone
+LONG_WORD = 64  # bytes; longer words are hashed by BLAKE2b, 64 bits of it for each function
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,26 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_TABLE = [mix(np.arange(256, dtype=_U) + _U(1000 * (k + 1))) | _U(1) for k in range(2)]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the k-th multiplier and of its inverse modulo 2**64, n at least."""
-    if k not in _powers or len(_powers[k][0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        base, inverse = _ODD[k], pow(_ODD[k], -1, 1 << 64)
-        up, down = np.full(size, base, _U), np.full(size, inverse, _U)
-        up[0] = down[0] = 1
-        pair = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 4 * SLICE_BYTES:
-            return pair
-        _powers[k] = pair
-    return _powers[k]
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
 class Words:
@@ -66,26 +53,44 @@ class Words:
         self.text = np.repeat(np.arange(len(bounds) - 1), self.count)
 
     def hashes(self, k: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _power(k, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, _U)
-        np.cumsum(_TABLE[k][self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+        """A 64-bit hash of each word's bytes: every eight bytes are mixed into it, the length too."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        size, odd = self.end - self.start, _U(_ODD[k])
+        out = mix(((eight[self.start] & _LOW_BYTES[np.minimum(size, 8)]) + size.astype(_U) * _U(_ODD[1 - k])) * odd)
+        for at in range(8, LONG_WORD, 8):
+            more = np.flatnonzero(size > at)
+            if not len(more):
+                break
+            block = eight[self.start[more] + at] & _LOW_BYTES[np.minimum(size[more] - at, 8)]
+            out[more] = mix((out[more] ^ block) * odd)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+        return out
 
     def grams(self, n: int, k: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n consecutive words within one text, and the number of the first word of each."""
         h = self.hashes(k) if hashes is None else hashes
         at = np.flatnonzero(self.first[self.text + 1] - np.arange(len(h)) >= n) if len(h) else np.zeros(0, np.int64)
-        return mix(rolled(h, n, k)[at]), at
+        return rolled(h, n, k)[at], at
 
 
 def rolled(h: np.ndarray, n: int, k: int = 0) -> np.ndarray:
-    """At i, an order-sensitive sum of h[i:i+n]; entries whose span leaves h are meaningless."""
-    up, down = _power(k, len(h) + 1)
-    total = np.zeros(len(h) + n + 1, _U)
-    np.cumsum(h * up[: len(h)], out=total[1 : len(h) + 1])
-    total[len(h) + 1 :] = total[len(h)]
-    return (total[n : n + len(h)] - total[: len(h)]) * down[: len(h)]
+    """At i, a hash of h[i:i+n] in its order, mixed at each doubling of the width; entries whose span leaves h are meaningless."""
+
+    def joined(a: np.ndarray, width: int, b: np.ndarray) -> np.ndarray:
+        out, m = a.copy(), max(0, len(a) - width)
+        out[:m] = mix(a[:m] * _U(_ODD[k]) + b[len(b) - m :])
+        return out
+
+    power, width, out, done = h, 1, None, 0
+    while True:
+        if n & width:
+            out, done = (power if out is None else joined(out, done, power)), done + width
+        if 2 * width > n:
+            return out
+        power, width = joined(power, width, power), 2 * width
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
