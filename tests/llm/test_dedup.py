@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
-from brute import near_components, repeats_removed
+from brute import WORD, near_components, repeats_removed
 
 from veilspan.llm import near_dedup, substring_dedup
 from veilspan.llm.tables import table
@@ -81,9 +83,79 @@ def test_odd_rows_repeats(odd, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_prefix_groups_split_only_what_is_too_large():
-    counts = substring_dedup.np.ones(64 * 64, int)
-    counts[64:128] = 50
-    counts[65] = 5000
-    base, parts, n = substring_dedup.prefix_groups(counts, 1000)
-    assert len(set(base[0:64])) == 1 and parts[65] == 5 and n == base.max() + 1
+def test_cuts_are_short_prefixes_and_keep_order():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)
+    hashes = words[np.minimum(rng.zipf(1.4, 30_000), 40) - 1]
+    at = np.arange(len(hashes) - 20)
+    letters, path = substring_dedup.letters_of(hashes, at), substring_dedup.rolled(hashes, 20)[at]
+    cuts = substring_dedup.Cuts(letters[::3], path[::3], 50)
+    order = np.lexsort((path, letters))
+    group = cuts.group(letters, path)
+    assert (np.diff(group[order]) >= 0).all() and 40 < len(np.unique(group)) <= 50
+    assert np.bincount(group).max() < 3 * len(at) / 50
+    depth = {(16 - (int(x) & -int(x)).bit_length()) // 16 if not x else 4 - ((int(x) & -int(x)).bit_length() - 1) // 16 for x in cuts.letters}
+    assert len(depth) > 1  # prefixes of several lengths
+    assert len(substring_dedup.Cuts(letters[:0], path[:0], 5).group(letters, path)) == len(at)
+    same = substring_dedup.Cuts(np.repeat(letters[:1], 1000), np.repeat(path[:1], 1000), 9)  # one suffix everywhere
+    assert set(same.group(letters[:1], path[:1]).tolist()) == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_internal_nodes_of_a_sorted_subtree(seed):
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(0, 1 << 63, 3, dtype=np.uint64)[rng.integers(0, 3, 400)] * np.uint64(2)
+    window = 6
+    at = np.arange(400 - window + 1)
+    letters, path = substring_dedup.letters_of(hashes, at, window), substring_dedup.rolled(hashes, window)[at]
+    order = np.lexsort((path, letters))
+    common = substring_dedup.lcp(letters[order], path[order], window)
+    for depth in (1, 2, 4, window):
+        want = Counter(tuple(hashes[i : i + depth].tolist()) for i in at)
+        first, last = substring_dedup.nodes(common, depth)
+        got = {tuple(hashes[at[order[a]] : at[order[a]] + depth].tolist()): b - a for a, b in zip(first.tolist(), last.tolist(), strict=True)}
+        assert got == {k: n for k, n in want.items() if n > 1}
+
+
+def maximal_repeats(docs, n):
+    """doc_id to (start, end, source, source start): rows of windows whose earliest places move on together."""
+    first, out = {}, {}
+    for d, text in sorted(docs):
+        words, runs = WORD.findall(text or ""), []
+        for i in range(len(words) - n + 1):
+            place = first.setdefault(tuple(words[i : i + n]), (d, i))
+            if place != (d, i):
+                if runs and runs[-1][1] == i + n - 1 and (runs[-1][2], runs[-1][3] + i - runs[-1][0]) == place:
+                    runs[-1][1] = i + n
+                else:
+                    runs.append([i, i + n, *place])
+        out[d] = [tuple(r) for r in runs]
+    return out
+
+
+@pytest.mark.parametrize("block", [200, 6 << 20])
+def test_maximal_repeats_with_their_earliest_places(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"w{k}" for k in rng.integers(0, 40, 30)) for _ in range(6)]
+    docs = [(i, " ".join(str(x) for x in rng.choice(pool, rng.integers(1, 5))) + " " + " ".join(f"u{k}" for k in rng.integers(0, 9, 6))) for i in range(30)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), sources=True).collect()
+    want = maximal_repeats(docs, 20)
+    assert {r.doc_id: [tuple(x) for x in r.repeats] for r in got} == want and sum(map(len, want.values())) > 20
+    for r in got:
+        assert {i for x in r.repeats for i in range(x.start, x.end)} == {i for a, b in r.removed_spans for i in range(a, b)}
+
+
+def test_words_that_fool_polynomial_hashes_are_kept_apart(spark):
+    lead = " ".join(f"w{i}" for i in range(19))
+    one, other = ("".join(x[i.bit_count() & 1] for i in range(1024)) for x in ("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{lead} {one}"), (2, f"{lead} {other}"), (3, f"{lead} {one}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 20}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 100).collect()}
+    assert got == {1: (16, 1), 2: (16, 2), 3: (16, 1)}
+
+
+def test_text_moves_once(spark):
+    """The passes over blocks read the bucketed table without an exchange of texts."""
+    plan = substring_dedup.op5_substring_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Bucketed: true" in plan

@@ -4,25 +4,27 @@ A word is [^\\x20\\x09-\\x0D]+, unchanged. A window is `window` consecutive word
 document. Every word in a window whose word sequence also starts earlier (smaller
 doc_id, or same document and earlier start) is removed; windows are judged on the input.
 
-The suffixes of all documents are cut at `window` words: below that depth a suffix tree
-says nothing that matters here, and its internal nodes at that depth, with two leaves or
-more, are the repeats (longer maximal repeats are runs of them). Documents are dealt into
-blocks of some MB by a hash of their id, and the trees are built in three passes:
+Suffixes are cut at `window` words, the least length of a repeat, as in a truncated suffix tree: its
+internal nodes of that depth are the repeats, and a longer maximal repeat is a row of them whose
+leaves move on together. A suffix's label is its first LETTERS words (16 bits of each word's hash, in
+their order) and, for the path below, a 64-bit hash of all its words: 128 bits in all. Documents
+are dealt once into blocks of some MB, a table bucketed by block, and the trees are built in three passes over it:
 
 1. Census. Of each window a block notes the least hash among its half-window sequences;
    equal windows have equal least hashes. Values seen at one place only, in all blocks,
-   belong to branches with one leaf and are pruned. Prefix counts are taken of all suffixes.
-2. Trees. A prefix of one word holds a group of suffixes; if there are too many for a
-   worker's memory, the prefix is made two words long, and at last the whole window. Small
-   groups are put together. A block sends each group its distinct suffixes, sorted, with
-   the smallest place of each. Sorting a group's suffixes puts each subtree's leaves side
-   by side; every leaf but the earliest of a deep node goes back marked to its block.
-3. Removal. Each block marks the words below marked leaves and writes what is kept.
-
-A window's path is 96 bits of two independent hashes of its words. A passage that
-a block repeats is sent once, so no group grows with the number of copies within blocks.
-
-Defined cases: a null text has no words; a null id sorts first; rows that share an id are
+   belong to branches with one leaf and are pruned. A bounded sample of labels is taken too.
+2. Trees. The sample's quantiles cut the order of suffixes into groups that fit a worker's memory. A cut is
+   the shortest run of first words that parts its neighbours: one word where that is enough, more
+   below prefixes that many suffixes share, and the path's hash below the last letter. So a group holds
+   whole subtrees whose roots are prefixes of several lengths. A block sends each group its distinct
+   suffixes, sorted, with the smallest place of each. In a group they are merged, the lengths of the common
+   prefixes of neighbours give the internal nodes, and the leaves of a deep node but the earliest go back
+   marked, with the earliest's place where it is asked for.
+3. Removal. Each block marks the words below marked leaves and writes what is kept, and the maximal repeats.
+
+A passage that a block repeats is sent once, so no group grows with the number of copies within blocks.
+
+Defined cases: a null text has no words; a null id sorts first; rows that share an id (null ids too) are
 ordered by text and count as one after the other; an empty table gives an empty one. Only
 the named columns are read.
 """
@@ -30,6 +32,7 @@ the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -37,17 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.tables import partitions, staged, table
+from veilspan.llm.tables import fresh_path, partitions, staged, table
 from veilspan.llm.words import Words, mix, raw, rolled
 
 WINDOW = 20
 BLOCK_BYTES = 6 << 20  # of text in a block, on average
+BUCKET_BYTES = 256 << 20  # of text in a file of blocks, on average
+MAX_BUCKETS = 100_000
 GROUP_SUFFIXES = 4_000_000  # a worker's memory holds so many suffixes of a group
-SLOT_BITS = 6  # of a word's hash that name a branch
-_SLOTS = 1 << SLOT_BITS
+LETTERS = 4  # words that stand in a label themselves
+SAMPLE = 1 << 18  # labels that the cuts are chosen from, as expected; they set sizes of groups, never results
 _TABLE_BITS = 22
 _U = np.uint64
 NULL_ID = -(1 << 63)
+_LABEL = (("letters", _U), ("path", _U), ("ids", np.int64), ("at", np.int32))
 
 
 def _slide(x: np.ndarray, n: int, how: np.ufunc) -> np.ndarray:
@@ -60,6 +66,67 @@ def _slide(x: np.ndarray, n: int, how: np.ufunc) -> np.ndarray:
     return out
 
 
+def letters_of(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The first LETTERS words of each suffix, 16 bits each; equal order of numbers and of word sequences."""
+    out = np.zeros(len(at), _U)
+    for k in range(min(LETTERS, window)):
+        out |= (hashes[at + k] >> _U(48)) << _U(48 - 16 * k)
+    return out
+
+
+def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first letters are equal."""
+    differ = a ^ b
+    return sum(((differ >> _U(48 - 16 * k)) == 0).astype(np.int64) for k in range(LETTERS))
+
+
+def lcp(letters: np.ndarray, path: np.ndarray, window: int) -> np.ndarray:
+    """Common words of each sorted suffix and the one before it: up to LETTERS, or the window if the paths are equal."""
+    out = np.zeros(len(letters), np.int64)
+    out[1:] = common_letters(letters[1:], letters[:-1])
+    out[1:][(letters[1:] == letters[:-1]) & (path[1:] == path[:-1])] = window
+    return out
+
+
+def nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last leaf (exclusive) of each internal node at a depth of a sorted subtree, from its leaves' common prefixes."""
+    deep = np.r_[False, common[1:] >= depth, False] if len(common) else np.zeros(1, bool)
+    return np.flatnonzero(~deep[:-1] & deep[1:]), np.flatnonzero(deep[:-1] & ~deep[1:]) + 1
+
+
+class Cuts:
+    """Group boundaries in the order of suffixes: (letters, path) pairs, each the first label of a group."""
+
+    def __init__(self, letters: np.ndarray, path: np.ndarray, groups: int):
+        order = np.lexsort((path, letters))
+        letters, path = letters[order], path[order]
+        found: list[tuple[int, int]] = []
+        for k in range(1, groups if len(order) else 0):
+            i = len(order) * k // groups
+            j = i
+            while j and letters[j - 1] == letters[i] and path[j - 1] == path[i]:
+                j -= 1  # copies of one suffix stay together
+            if j == 0:
+                continue
+            same = int(common_letters(letters[j - 1 : j], letters[j : j + 1])[0])
+            if same < LETTERS:
+                cut = (int(letters[j]) >> 48 - 16 * same << 48 - 16 * same, 0)
+            else:
+                cut = (int(letters[j]), int(path[j]))
+            if not found or cut > found[-1]:
+                found.append(cut)
+        self.letters, self.path = (np.array([x[k] for x in found], _U) for k in range(2))
+
+    def group(self, letters: np.ndarray, path: np.ndarray) -> np.ndarray:
+        """Number of cuts at or before each label."""
+        low, high = np.searchsorted(self.letters, letters, "left"), np.searchsorted(self.letters, letters, "right")
+        out, tied = low.copy(), np.flatnonzero(high > low)
+        for k in np.unique(low[tied]).tolist():
+            some = tied[low[tied] == k]
+            out[some] = k + np.searchsorted(self.path[k : high[some[0]]], path[some], "right")
+        return out
+
+
 class Block:
     """Sorted documents of one block with the suffixes that have a whole window."""
 
@@ -72,62 +139,35 @@ class Block:
         self.window = window
         self.hashes = self.words.hashes()
         _, self.at = self.words.grams(window, hashes=self.hashes)
-        half = window // 2
-        grams = mix(rolled(self.hashes, half)) | _U(1)
-        least = _slide(grams, window - half + 1, np.minimum)
-        self.least = least[self.at]
+
+    def census(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least half-window hash of each window, and the places' hashes that are one."""
+        half = max(1, self.window // 2)
+        grams = rolled(self.hashes, half) | _U(1)
+        least = _slide(grams, self.window - half + 1, np.minimum)
         whole = np.zeros(len(grams), _U)
-        whole[self.at] = self.least
-        reach = _slide(whole[::-1], window - half + 1, np.maximum)[::-1]
-        self.anchors = grams[reach == grams] if len(grams) else grams
-
-    def prefix_slots(self) -> tuple[np.ndarray, np.ndarray]:
-        shift = _U(64 - SLOT_BITS)
-        one = (self.hashes[self.at] >> shift).astype(np.int32)
-        return one, one * _SLOTS + (self.hashes[self.at + 1] >> shift).astype(np.int32) if len(one) else one
-
-    def suffixes(self, repeated: np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
-        """Suffixes that aren't pruned, sorted by group and path, equal ones by place; `new` marks the first of equals."""
-        table = np.zeros(1 << _TABLE_BITS, bool)
-        table[(repeated >> _U(64 - _TABLE_BITS)).astype(np.int64)] = True
-        some = table[(self.least >> _U(64 - _TABLE_BITS)).astype(np.int64)]
-        at = self.at[some]
-        path = mix(rolled(self.hashes, self.window)[at])
-        check = (mix(rolled(self.words.hashes(1), self.window, 1)[at]) >> _U(32)).astype(np.uint32)
-        _, two = self.prefix_slots()
-        two = two[some]
-        base, parts = groups
-        group = base[two] + (mix(path) % parts[two].astype(_U)).astype(np.int64)
-        order = np.lexsort((check, path, group))
-        at, path, check, group = at[order], path[order], check[order], group[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (path[1:] != path[:-1]) | (check[1:] != check[:-1])
-        return {"at": at, "path": path, "check": check, "group": group, "new": new}
-
-
-def prefix_groups(counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each two-word slot, its first group and how many it is split into; groups in all.
-
-    A one-word prefix that is small enough stays whole, next to its neighbours while they
-    fit together; a large one is split by its second word, and a slot that is still too
-    large by its whole window.
-    """
-    base, parts = np.zeros(_SLOTS * _SLOTS, np.int64), np.ones(_SLOTS * _SLOTS, np.int64)
-    group, used = 0, 0
-    for one in range(_SLOTS):
-        span = slice(one * _SLOTS, (one + 1) * _SLOTS)
-        nodes = [span] if counts[span].sum() <= limit else [slice(i, i + 1) for i in range(span.start, span.stop)]
-        for node in nodes:
-            n = int(counts[node].sum())
-            if used and used + n > limit:
-                group, used = group + 1, 0
-            split = max(1, -(-n // limit))
-            base[node], parts[node] = group, split
-            if split > 1:
-                group, used = group + split, 0
-            else:
-                used += n
-    return base, parts, group + 1
+        whole[self.at] = least[self.at]
+        reach = _slide(whole[::-1], self.window - half + 1, np.maximum)[::-1]
+        return least[self.at], grams[reach == grams] if len(grams) else grams
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each suffix's document, and its first word's number there."""
+        text = self.words.text[at]
+        return self.ids[text], (at - self.words.first[text]).astype(np.int32)
+
+    def labels(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return letters_of(self.hashes, at, self.window), rolled(self.hashes, self.window)[at]
+
+    def suffixes(self, repeated: np.ndarray, cuts: Cuts) -> dict[str, np.ndarray]:
+        """Suffixes that aren't pruned, sorted by group and label, equal ones by place; `new` marks the first of equals."""
+        known = np.zeros(1 << _TABLE_BITS, bool)
+        known[(repeated >> _U(64 - _TABLE_BITS)).astype(np.int64)] = True
+        at = self.at[known[(self.census()[0] >> _U(64 - _TABLE_BITS)).astype(np.int64)]]
+        letters, path = self.labels(at)
+        order = np.lexsort((path, letters))
+        at, letters, path = at[order], letters[order], path[order]
+        new = lcp(letters, path, self.window) < self.window
+        return {"at": at, "letters": letters, "path": path, "group": cuts.group(letters, path), "new": new}
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -139,15 +179,24 @@ def _pieces(group: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(group[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _census(block_of: Callable[[pa.Table], Block], ranges: int):
+def _rows(out: list[tuple], names: list[str], kinds: tuple[pa.DataType, ...]) -> pa.Table:
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * len(kinds), kinds, strict=True)], names)
+
+
+_WHERE = (pa.int32(), pa.int32())
+
+
+def _census(block_of: Callable[[pa.Table], Block], ranges: int, every: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         block, number = block_of(rows), key[0].as_py()
-        values, seen = np.unique(block.anchors, return_counts=True)
+        values, seen = np.unique(block.census()[1], return_counts=True)
         group = (values >> _U(32)).astype(np.int64) * ranges >> 32
-        _, two = block.prefix_slots()
-        out = [(-1, number, _bytes(np.bincount(two, minlength=_SLOTS * _SLOTS)), b"")]
+        letters, path = block.labels(block.at)
+        _, one = np.unique(path, return_index=True)  # copies within a block go to their group once
+        some = one[mix(path[one] ^ mix(np.array([number], _U))) % _U(every) == 0]
+        out = [(-1, number, _bytes(letters[some]), _bytes(path[some]))]
         out += [(g, number, _bytes(values[a:b]), _bytes(seen[a:b] > 1)) for g, a, b in _pieces(group)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["grp", "block", "items", "flags"])
+        return _rows(out, ["grp", "block", "items", "flags"], (*_WHERE, pa.binary(), pa.binary()))
 
     return run
 
@@ -166,20 +215,20 @@ def _shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     again |= flags  # a value that one block repeats and another holds is marked in both by the line above
     edge = np.cumsum([0, *map(len, values)])
     kept = [_bytes(flat[a:b][again[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
-    return pa.table([rows.column("block"), pa.array(np.full(len(kept), -1, np.int32)), pa.array(kept, pa.binary())], ["block", "grp", "reply"])
+    none = pa.array([None] * len(kept), pa.binary())
+    return pa.table([rows.column("block"), pa.array(np.full(len(kept), -1, np.int32)), pa.array(kept, pa.binary()), none], ["block", "grp", "reply", "sources"])
 
 
-def _branches(block_of: Callable[[pa.Table], Block], groups: tuple[np.ndarray, np.ndarray]):
+def _branches(block_of: Callable[[pa.Table], Block], cuts: Cuts, sources: bool):
     def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if len(rows):
             block, number = block_of(rows), key[0].as_py()
-            s = block.suffixes(_repeated(replies), groups)
+            s = block.suffixes(_repeated(replies), cuts)
             s = {k: v[s["new"]] for k, v in s.items()}
-            ids = block.ids[block.words.text[s["at"]]]
-            out = [(g, number, _bytes(s["path"][a:b]), _bytes(s["check"][a:b]), _bytes(ids[a:b])) for g, a, b in _pieces(s["group"])]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)], ["grp", "block", "path", "check", "ids"])
+            ids, place = block.place(s["at"])
+            out = [(g, number, _bytes(s["letters"][a:b]), _bytes(s["path"][a:b]), _bytes(ids[a:b]), _bytes(place[a:b]) if sources else None) for g, a, b in _pieces(s["group"])]
+        return _rows(out, ["grp", "block", *(k for k, _ in _LABEL)], (*_WHERE, *(pa.binary(),) * 4))
 
     return run
 
@@ -188,35 +237,56 @@ def _repeated(replies: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for g, x in zip(replies.column("grp").to_pylist(), replies.column("reply").to_pylist()) if g < 0)])
 
 
-def _deep_nodes(key: tuple, rows: pa.Table) -> pa.Table:
-    """Marks all leaves but the earliest of each node at window depth."""
-    rows = rows.sort_by("block")
-    part = {k: [np.frombuffer(x, t) for x in rows.column(k).to_pylist()] for k, t in (("path", _U), ("check", np.uint32), ("ids", np.int64))}
-    edge = np.cumsum([0, *map(len, part["path"])])
-    path, check, ids = (np.concatenate(part[k]) for k in ("path", "check", "ids"))
-    order = np.lexsort((ids, check, path))
-    marked = np.zeros(len(path), bool)
-    marked[order[1:]] = (path[order[1:]] == path[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
-    bits = [_bytes(np.packbits(marked[a:b])) for a, b in zip(edge[:-1], edge[1:])]
-    return pa.table([rows.column("block"), rows.column("grp"), pa.array(bits, pa.binary())], ["block", "grp", "reply"])
+def _subtrees(window: int, sources: bool):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """Marks the leaves but the earliest of each deep node of a group's subtrees.
+
+        A block's rows hold its documents by id, so ids decide between blocks, and rows that share an id are in one block.
+        """
+        rows = rows.sort_by("block")
+        part = {k: [np.frombuffer(x or b"", t) for x in rows.column(k).to_pylist()] for k, t in _LABEL}
+        edge = np.cumsum([0, *map(len, part["path"])])
+        letters, path, ids, at = (np.concatenate(part[k]) for k, _ in _LABEL)
+        order = np.lexsort((ids, path, letters))
+        first, last = nodes(lcp(letters[order], path[order], window), window)
+        mark = np.zeros(len(order) + 1, np.int32)
+        mark[first + 1] += 1
+        mark[last] -= 1
+        marked = np.zeros(len(order), bool)
+        marked[order] = np.cumsum(mark[:-1]) > 0
+        bits = [_bytes(np.packbits(marked[a:b])) for a, b in zip(edge[:-1], edge[1:])]
+        found = [None] * len(bits)
+        if sources:
+            head = np.zeros(len(order), np.int64)
+            head[order] = order[np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(order)]))] if len(order) else head
+            where = np.stack([ids, at.astype(np.int64)], 1)
+            found = [_bytes(where[head[a:b][marked[a:b]]]) for a, b in zip(edge[:-1], edge[1:])]
+        return pa.table([rows.column("block"), rows.column("grp"), pa.array(bits, pa.binary()), pa.array(found, pa.binary())], ["block", "grp", "reply", "sources"])
+
+    return run
 
 
-def _removal(block_of: Callable[[pa.Table], Block], groups: tuple[np.ndarray, np.ndarray], text_column: str, kept_columns: list[str], digest: bool):
+def _removal(block_of: Callable[[pa.Table], Block], cuts: Cuts, text_column: str, kept_columns: list[str], digest: bool, sources: bool):
     def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         block = block_of(rows)
         words, window = block.words, block.window
         gone = np.zeros(len(words.start), bool)
+        source = np.full((len(words.start), 2), -1, np.int64)
         if len(block.at):
-            s = block.suffixes(_repeated(replies), groups)
-            bits = dict(zip(replies.column("grp").to_pylist(), replies.column("reply").to_pylist()))
-            first = s["group"][s["new"]]
-            marked = [np.unpackbits(np.frombuffer(bits[g], np.uint8), count=b - a).astype(bool) for g, a, b in _pieces(first)]
+            s = block.suffixes(_repeated(replies), cuts)
+            found = {g: (x, y) for g, x, y in zip(*(replies.column(c).to_pylist() for c in ("grp", "reply", "sources")))}
+            pieces = _pieces(s["group"][s["new"]])
+            marked = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(found[g][0], np.uint8), count=b - a).astype(bool) for g, a, b in pieces)])
             repeat = ~s["new"]
-            repeat[s["new"]] = np.concatenate([np.zeros(0, bool), *marked])
+            repeat[s["new"]] = marked
             change = np.zeros(len(gone) + window + 1, np.int32)
             np.add.at(change, s["at"][repeat], 1)
             np.add.at(change, s["at"][repeat] + window, -1)
             gone = np.cumsum(change)[: len(gone)] > 0
+            if sources and len(s["at"]):
+                earliest = np.stack(block.place(s["at"][s["new"]]), 1).astype(np.int64)
+                earliest[marked] = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(found[g][1], np.int64).reshape(-1, 2) for g, _, _ in pieces)])
+                source[s["at"]] = np.where(repeat[:, None], earliest[np.cumsum(s["new"]) - 1], -1)
         count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.first])
         data, edge = kept_text(words, gone)
         columns = [block.rows.column(c) for c in kept_columns]
@@ -226,11 +296,28 @@ def _removal(block_of: Callable[[pa.Table], Block], groups: tuple[np.ndarray, np
             last = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string())
         else:
             last = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data))
-        return pa.table([*columns, *more, last, _spans(words, gone)], [*kept_columns, "n_words", "n_removed", "kept_sha256" if digest else text_column, "removed_spans"])
+        out = [*columns, *more, last, _spans(words, gone)]
+        names = [*kept_columns, "n_words", "n_removed", "kept_sha256" if digest else text_column, "removed_spans"]
+        if sources:
+            out, names = [*out, _maximal(words, source, window)], [*names, "repeats"]
+        return pa.table(out, names)
 
     return run
 
 
+def _maximal(words: Words, source: np.ndarray, window: int) -> pa.Array:
+    """Rows of windows of each text whose earliest places move on together, as [first word, word after the last, source id, first word there]."""
+    on = source[:, 1] >= 0
+    follows = np.r_[False, (words.text[1:] == words.text[:-1]) & on[1:] & on[:-1] & (source[1:, 0] == source[:-1, 0]) & (source[1:, 1] == source[:-1, 1] + 1)] if len(on) else on
+    start = np.flatnonzero(on & ~follows)
+    end = np.flatnonzero(on & ~np.r_[follows[1:], False]) + window if len(on) else start
+    base = words.first[words.text[start]]
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())])
+    ids = source[start, 0]
+    parts = [pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(ids, mask=ids == NULL_ID), pa.array(source[start, 1].astype(np.int32))]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, words.first), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind)))
+
+
 def kept_text(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all kept words joined by one space within each text, and the bounds of texts."""
     keep = ~gone
@@ -258,47 +345,55 @@ def _spans(words: Words, gone: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, words.first), pa.int32()), pair)
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", keep_columns: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df as a table in the shared folder whose files hold whole blocks, so later passes over blocks move no text."""
+    name = f"veilspan_blocks_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, "block").write.format("parquet").option("path", fresh_path(df.sparkSession, "blocks"))
+    writer.bucketBy(buckets, "block").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def remove_repeats(df: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", keep_columns: tuple[str, ...] = (), digest: bool = False, sources: bool = False) -> DataFrame:
     """One row per input row: id_column, keep_columns, n_words, n_removed, the kept text
     (or its kept_sha256), removed_spans (array of [first, end) word numbers).
+
+    sources=True adds repeats: the document's maximal repeats of `window` words and more that also start
+    earlier (array of start, end, source_id, source_start in words), the earliest place of each.
     """
     spark = df.sparkSession
     n = partitions(spark)
     kept = [id_column, *(c for c in keep_columns if c not in (id_column, text_column))]
     size = df.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     n_blocks = max(1, size // BLOCK_BYTES, min(4 * n, size // (BLOCK_BYTES // 8)))
-    block = F.pmod(F.xxhash64(id_column), F.lit(n_blocks)).cast("int").alias("block")
-    docs = df.select(block, id_column, text_column)
+    block = F.pmod(F.xxhash64(id_column), F.lit(n_blocks)).cast("int")
+    names = [f"c{i}" for i in range(len(kept))]  # whatever the columns are called
+    wide = df.select(block.alias("block"), *(F.col(c).alias(x) for c, x in zip(kept, names)), F.col(text_column).alias("text"))
+    wide = _bucketed(wide, int(min(MAX_BUCKETS, max(n, size // BUCKET_BYTES))))
+    docs = wide.select("block", names[0], "text")
 
     def block_of(rows: pa.Table) -> Block:
-        return Block(rows, id_column, text_column, window)
+        return Block(rows, names[0], "text", window)
 
     ranges = max(1, min(1 << 20, max(2 * n, size // (32 << 20))))
-    census = staged(docs.groupBy("block").applyInArrow(_census(block_of, ranges), "grp int, block int, items binary, flags binary"), "census")
-    slots = census.where("grp < 0").select("items").mapInArrow(_summed, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(_SLOTS * _SLOTS, np.int64)
-    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    base, parts, _ = prefix_groups(counts, int(max(1 << 17, min(GROUP_SUFFIXES, counts.sum() // (2 * n)))))
-    shape = "block int, grp int, reply binary"
+    every = max(1, size // 6 // SAMPLE)  # words have some six bytes
+    census = staged(docs.groupBy("block").applyInArrow(_census(block_of, ranges, every), "grp int, block int, items binary, flags binary"), "census")
+    sample = census.where("grp < 0").select("items", "flags").toPandas()  # SAMPLE labels, about
+    letters, path = (np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for x in sample[c])]) for c in ("items", "flags"))
+    limit = int(max(1 << 17, min(GROUP_SUFFIXES, len(path) * every // (2 * n))))
+    cuts = Cuts(letters, path, -(-len(path) * every // limit))
+    shape = "block int, grp int, reply binary, sources binary"
     anchors = staged(census.where("grp >= 0").groupBy("grp").applyInArrow(_shared_anchors, shape), "anchors")
 
     by_block = docs.groupBy("block").cogroup(anchors.groupBy("block"))
-    branches = by_block.applyInArrow(_branches(block_of, (base, parts)), "grp int, block int, path binary, check binary, ids binary")
-    marks = staged(branches.groupBy("grp").applyInArrow(_deep_nodes, shape), "marks")
+    branches = by_block.applyInArrow(_branches(block_of, cuts, sources), "grp int, block int, " + ", ".join(f"{k} binary" for k, _ in _LABEL))
+    marks = staged(branches.groupBy("grp").applyInArrow(_subtrees(window, sources), shape), "marks")
 
-    wide = df.select(block, *kept, text_column)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    shape = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", n_words long, n_removed long, {'kept_sha256' if digest else f'`{text_column}`'} string, removed_spans array<array<int>>"
-    return wide.groupBy("block").cogroup(anchors.unionByName(marks).groupBy("block")).applyInArrow(_removal(block_of, (base, parts), text_column, kept, digest), shape)
-
-
-def _summed(batches):
-    total = np.zeros(_SLOTS * _SLOTS, np.int64)
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            total += np.frombuffer(x, np.int64)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+    shape = ", ".join(f"{x} {kinds[c]}" for c, x in zip(kept, names)) + f", n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string, removed_spans array<array<int>>"
+    shape += ", repeats array<struct<start:int,end:int,source_id:bigint,source_start:int>>" if sources else ""
+    out = wide.groupBy("block").cogroup(anchors.unionByName(marks).groupBy("block")).applyInArrow(_removal(block_of, cuts, "text", names, digest, sources), shape)
+    back = dict(zip(names, kept)) | {"text": text_column}
+    return out.toDF(*(back.get(c, c) for c in out.columns))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
