@@ -63,13 +63,33 @@ def test_votes_equal_brute_force(media):
         for w, j in runs(prints[1]):
             if v == w:
                 votes[i - j] = votes.get(i - j, 0) + 1
-    best = min(votes, key=lambda o: (-votes[o], o))
+    a, b = (np.array(prints[i], np.uint32) for i in (0, 1))
+    overlap = lambda o: min(len(a) - max(o, 0), len(b) + min(o, 0))
+    judged = {o: error(a, b, o) for o, n in votes.items() if n >= chroma.MIN_VOTES and overlap(o) >= chroma.MIN_OVERLAP}
+    best = min(judged, key=lambda o: (judged[o], -votes[o], o))
     got = next(r for r in chroma.matches(chroma.fingerprints(media, "id", "media"), F.col("id") == 0, "id").collect() if r.id == 0)
     assert (got.offset, got.votes) == (best, votes[best])
-    a, b = (np.array(prints[i], np.uint32) for i in (0, 1))
     assert got.bit_error == error(a, b, best)
 
 
+def test_odd_rows(spark):
+    """Null ids, repeated rows and columns named like those that are made."""
+    whole, cut = chroma.wav(tune(1)), chroma.wav(tune(1)[30 * chroma.HOP :])
+    rows = [(0, whole), (0, whole), (None, whole), (1, cut), (None, chroma.wav(tune(9))), (None, None), (2, None)]
+    df = spark.createDataFrame(rows, "id long, media binary").selectExpr("*", "1 AS value", "2 AS q", "3 AS print", "'x' AS class_id", "4 AS votes")
+    got = chroma.matches(chroma.fingerprints(df, "id", "media"), F.coalesce(F.col("id") == 0, F.lit(True)), "id").collect()
+    assert len(got) == len(rows)
+    shown = sorted((str(r.id), str(r.class_id), str(r.match_class)) for r in got)
+    assert shown == sorted([("0", "0", "1"), ("0", "0", "1"), ("None", "0", "1"), ("1", "1", "None"), ("None", "None", "None"), ("None", "2", "None"), ("2", "2", "None")])
+
+
+def test_steady_tones_of_different_length_meet(spark):
+    tone = chroma.melody(np.zeros(200))
+    rows = [(0, chroma.wav(tone)), (1, chroma.wav(tone[: 150 * chroma.NOTE])), (2, chroma.wav(tune(4)))]
+    got = {r.id: r for r in chroma.matches(chroma.fingerprints(spark.createDataFrame(rows, "id long, media binary"), "id", "media"), F.col("id") == 0, "id").collect()}
+    assert got[0].match_class == 1 and got[0].bit_error < 0.05
+
+
 def test_the_table(spark):
     got = chroma.op9_chroma_match(spark, "/root/testdata/sf0.001")
     assert got.select("vec_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()

@@ -6,14 +6,17 @@ Gray-coded bits, so every frame gives one packed 32-bit integer. The levels are
 quartiles of the answers to a seeded random melody, a rule rather than a trained table.
 
 Two recordings are aligned by the histogram of offsets between equal integers (a run of
-one integer counts at its start); the fullest offset is then judged by the share of
-different bits over the overlap.
+one integer counts at its start). Every offset with MIN_VOTES, or with as many as the
+recording with fewer runs can give, is then judged by the share of different bits over the
+overlap, and the best one stands: the fullest may be a false one where recordings loop.
 
 Recordings with equal fingerprints are one class. Matches are between classes, and every
 row names its class, so copies are never expanded into pairs.
 
 A null, broken or too short recording has no integers and matches nothing; it is a class
-with the others of its kind. Repeated rows repeat; an empty table gives an empty one.
+with the others of its kind. Repeated rows repeat; an empty table gives an empty one. A row
+with a null id gets its class and, if it is asked, its matches; a recording that only such
+rows hold has no class to be named by, and is no match of others.
 """
 
 from __future__ import annotations
@@ -165,12 +168,13 @@ def fingerprints(df: DataFrame, id_column: str, media_column: str, to_media: Cal
 
 
 def _postings(df: DataFrame, name: str) -> DataFrame:
-    """class, value and place of every start of a run."""
+    """class, value and place of every start of a run, and the recording's number of runs."""
     starts = F.filter(
         F.transform("print", lambda x, i: F.struct(x.alias("value"), i.alias("place"), ((i == 0) | (F.get("print", i - 1) != x)).alias("fresh"))),
         lambda x: x["fresh"],
     )
-    return df.select(F.col("class_id").alias(name), F.explode(starts).alias("x")).select(name, "x.value", F.col("x.place").alias(f"{name}_place"))
+    rows = df.where("class_id IS NOT NULL").select(F.col("class_id").alias(name), starts.alias("starts")).select(name, F.size("starts").alias(f"{name}_runs"), F.explode("starts").alias("x"))
+    return rows.select(name, f"{name}_runs", "x.value", F.col("x.place").alias(f"{name}_place"))
 
 
 def _bit_error(a: Column, b: Column, offset: Column) -> Column:
@@ -195,12 +199,14 @@ def matches(prints: DataFrame, is_query: Column, id_column: str) -> DataFrame:
     named = rows.join(classes.select(*keys, "class_id"), keys)
     asked, every = classes.where("asked"), classes
     votes = _postings(asked, "q").join(_postings(every, "m"), "value").where("q != m")
-    votes = votes.groupBy("q", "m", (F.col("q_place") - F.col("m_place")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    best = Window.partitionBy("q", "m").orderBy(F.desc("votes"), "offset")
-    top = votes.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    enough = F.least(F.lit(MIN_VOTES), F.min("q_runs"), F.min("m_runs"))
+    votes = votes.groupBy("q", "m", (F.col("q_place") - F.col("m_place")).alias("offset")).agg(F.count("*").alias("votes"), enough.alias("enough"))
+    top = votes.where("votes >= enough").drop("enough")
     for x in "qm":
         top = top.join(classes.select(F.col("class_id").alias(x), F.col("print").alias(f"print_{x}")), x)
     found = top.withColumn("bit_error", _bit_error(F.col("print_q"), F.col("print_m"), F.col("offset"))).where(F.col("bit_error") <= MAX_BIT_ERROR)
+    best = Window.partitionBy("q", "m").orderBy("bit_error", F.desc("votes"), "offset")
+    found = found.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     found = found.select(F.col("q").alias("class_id"), F.col("m").alias("match_class"), "offset", "votes", "bit_error", F.lit(True).alias("is_query"))
     return named.select(id_column, "class_id", "is_query").join(found, ["class_id", "is_query"], "left").select(id_column, "class_id", "is_query", "match_class", "offset", "votes", "bit_error")
 
