@@ -45,7 +45,7 @@ from veilspan.llm.words import Words, mix, raw, rolled
 
 WINDOW = 20
 BLOCK_BYTES = 6 << 20  # of text in a block, on average
-BUCKET_BYTES = 256 << 20  # of text in a file of blocks, on average
+BUCKET_BYTES = 64 << 20  # of text in a file of blocks, on average
 MAX_BUCKETS = 100_000
 GROUP_SUFFIXES = 4_000_000  # a worker's memory holds so many suffixes of a group
 LETTERS = 4  # words that stand in a label themselves
