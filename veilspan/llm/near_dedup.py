@@ -14,8 +14,9 @@ nothing. Two documents are linked if 100 * |intersection| >= percent * |union|.
    and sketches (the least hash of each of BINS ranges) that allow a link, are confirmed on
    full sets.
 4. No list is ever expanded into its pairs. First each member meets the list's smallest
-   one, which joins most of a group of copies. Lists that still hold several components are
-   compared block by block: a first pass keeps the members with a candidate in another
+   one, which joins most of a group of copies; while comparing what is left would cost more than the
+   lists are long, members meet the smallest one of another component, STARS times at most. Lists that still hold several components are
+   compared block by block, blocks being bounded in members and in shingles: a first pass keeps the members with a candidate in another
    component, a second holds those members' full sets side by side and returns only the
    links that join components. Together the passes see all candidates, so no link
    between different components is missed.
@@ -42,7 +43,10 @@ WORDS = 5
 K = 16
 MISS = 1e-7  # most probable loss of a pair at the threshold itself
 BLOCK = 1024  # members of a list that one task compares with as many others
-FILTER_BITS = 1 << 23
+BLOCK_SHINGLES = 1 << 20  # in the sets of a block's members, on average
+STARS = 4
+FILTER_BITS = 8  # of a filter over ids, for each id
+MAX_FILTER = 1 << 27  # bits; more ids than it serves are joined instead
 BINS = 256  # of a sketch, one byte each
 SKETCH_MISS = 1e-9
 _U = np.uint64
@@ -124,7 +128,21 @@ def signatures(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(id_column, text_column).mapInArrow(run, "doc_id long, n long, key_a long, key_b long, coords array<long>, sketch binary")
 
 
-def shingle_rows(df: DataFrame, wanted: np.ndarray, id_column: str, text_column: str) -> DataFrame:
+def shingle_rows(df: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id and full set of the documents that ids (distinct ids) holds.
+
+    A bitmap of hashed ids, up to 16 MB, keeps most other texts from being read into sets and moved; with more ids
+    than that serves, the texts themselves are joined with them first.
+    """
+    n = ids.count()
+    bits = 1 << max(16, (FILTER_BITS * n - 1).bit_length())
+    if bits > MAX_FILTER:
+        some = df.join(ids.withColumnRenamed("id", "_wanted"), F.col(id_column).cast("long") == F.col("_wanted"), "left_semi")
+        return _filtered_sets(some, np.full(1 << 10, ~_U(0)), id_column, text_column)
+    return _filtered_sets(df, bit_filter(ids, "id", bits), id_column, text_column).join(ids, "id", "left_semi")
+
+
+def _filtered_sets(df: DataFrame, wanted: np.ndarray, id_column: str, text_column: str) -> DataFrame:
     """id and full set of the documents whose bit is set in wanted; some others pass too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +154,16 @@ def shingle_rows(df: DataFrame, wanted: np.ndarray, id_column: str, text_column:
                 lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), lists], ["id", "shingles"])
 
-    bits = df.select(id_column, text_column, F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(FILTER_BITS)).alias("bit"))
+    bits = df.select(id_column, text_column, F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(64 * len(wanted))).alias("bit"))
     return bits.mapInArrow(run, "id long, shingles array<long>")
 
 
-def bit_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size over hashed ids: what isn't in it isn't in ids."""
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    words = ids.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({column}), {FILTER_BITS}L), 64) as int))").alias("mask"))
+def bit_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap over hashed ids: what isn't in it isn't in ids."""
+    bit = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = ids.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({column}), {bits}L), 64) as int))").alias("mask"))
     found = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[found["word"].to_numpy()] = found["mask"].to_numpy()
     return out.view(_U)
 
@@ -290,30 +308,40 @@ def _near_duplicates(df: DataFrame, percent: int, id_column: str, text_column: s
     full = signed.where("n > 0 and doc_id is not null")
     classes = staged(full.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch")), "classes")
 
-    posted = classes.select("rep", F.posexplode("coords").alias("place", "key"))
+    posted = classes.select("rep", "n", F.posexplode("coords").alias("place", "key"))
     lengths = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    shared = posted.join(lengths, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "key", "place"))).alias("lists"))
-    shared = shared.where(F.size("lists") >= t).select("rep", F.slice("lists", 1, F.size("lists") - (t - 1)).alias("lists"))
+    shared = posted.join(lengths, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("length", "key", "place"))).alias("lists"))
+    shared = shared.where(F.size("lists") >= t).select("rep", "n", F.slice("lists", 1, F.size("lists") - (t - 1)).alias("lists"))
     places = F.aggregate("lists", F.lit(0), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["place"])))
-    lists = staged(shared.withColumn("posted", places).select("rep", "posted", F.explode("lists").alias("list")).select("list.key", "rep", "posted"), "lists")
-
-    wanted = bit_filter(lists.select("rep").distinct(), "rep")
-    sets = staged(shingle_rows(df, wanted, id_column, text_column).join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "sets")
+    lists = staged(shared.withColumn("posted", places).select("rep", "n", "posted", F.explode("lists").alias("list")).select("list.key", "rep", "n", "posted"), "lists")
+    sets = staged(shingle_rows(df, lists.select(F.col("rep").alias("id")).distinct(), id_column, text_column), "sets")
 
     info = classes.select("rep", "n", "coords", "sketch")
     heads = lists.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("length")).where("length > 1")
+
+    def linked(star: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked, of those that share a list."""
+        for x in "ab":
+            star = star.join(info.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("coords").alias(f"coords_{x}")), x)
+        matches = F.size(F.filter(F.zip_with("coords_a", "coords_b", lambda p, q: p == q), lambda z: z))
+        return confirmed(star.where(_fits(F.col("n_a"), F.col("n_b"), percent) & (matches >= t)).select("a", "b"), sets, percent)
+
     star = lists.join(heads, "key").where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    for x in "ab":
-        star = star.join(info.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("coords").alias(f"coords_{x}")), x)
-    matches = F.size(F.filter(F.zip_with("coords_a", "coords_b", lambda p, q: p == q), lambda z: z))
-    star = star.where(_fits(F.col("n_a"), F.col("n_b"), percent) & (matches >= t)).select("a", "b")
-    found = components(confirmed(star, sets, percent))
-
-    placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "posted", F.coalesce("component", "rep").alias("comp"))
-    placed = staged(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    cells = placed.join(open_.select("key", blocks.alias("blocks")), "key").join(info, "rep")
+    found = components(linked(star))
+    for turn in range(STARS):
+        placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "posted", F.coalesce("component", "rep").alias("comp"))
+        placed = staged(placed, "placed")
+        sums = (F.count("*").alias("length"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        open_ = staged(placed.groupBy("key").agg(*sums).where("low != high").select("key", "low", "length", blocks), "open")
+        rows, cost = open_.agg(F.sum("length"), F.sum(F.col("length") * F.col("blocks"))).first()
+        if turn == STARS - 1 or not rows or cost < 2 * rows:
+            break
+        others = placed.join(open_.where("blocks > 1").select("key", "low"), "key")
+        heads = others.where("comp != low").groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("head"))
+        star = others.join(heads, "key").where("comp != head.comp").select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        found = staged(_joined(found, linked(star)), "components")
+    cells = placed.drop("n").join(open_.select("key", "blocks"), "key").join(info, "rep")
     cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "posted", "coords", "sketch")
@@ -321,16 +349,20 @@ def _near_duplicates(df: DataFrame, percent: int, id_column: str, text_column: s
     members = dealt(cells).mapInArrow(_by_cell(_candidates(t, percent)), "key long, lo int, hi int, side int, rep long, comp long")
     whole = members.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("key", "lo", "hi", "side", "rep", "comp", "shingles")
     links = staged(dealt(whole).mapInArrow(_by_cell(_joining_links(percent)), "a long, b long"), "links")
-    for x in "ab":
-        links = links.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(x, F.coalesce(f"c_{x}", x)).drop(f"c_{x}")
-    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = staged(_merged(stars, components(links)), "components")
+    found = staged(_joined(found, links), "components")
 
     rep = signed.join(classes.select("key_a", "key_b", "n", "rep"), ["key_a", "key_b", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
     out = rep.join(found, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, component) of found after more links (a, b)."""
+    for x in "ab":
+        links = links.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(x, F.coalesce(f"c_{x}", x)).drop(f"c_{x}")
+    return _merged(found.select(F.col("node").alias("a"), F.col("component").alias("b")), components(links))
+
+
 def _merged(stars: DataFrame, more: DataFrame) -> DataFrame:
     """Rows (node, component) after the components of stars were joined as more says."""
     to = more.withColumnRenamed("node", "b").withColumnRenamed("component", "root")
