@@ -54,6 +54,14 @@ def test_entry_stands_without_the_optional_parts(tmp_path):
     assert out.stdout.split()[-3:] == [str(len(queries.QUERIES)), str(len(queries.ORACLE)), "False"], out.stderr
 
 
+def test_entry_stands_without_a_library_of_the_optional_parts(tmp_path):
+    """A library that only the optional parts need is absent; a missing module of our own still raises."""
+    block = "import sys; sys.modules[{!r}] = None; import __spark_entry__ as e; print('pipeline' in e.queries(), 'email_spans' in e.queries())"
+    for name, want in (("tokenizers", "False True"), ("veilspan.operators.policy", None)):
+        out = subprocess.run([sys.executable, "-c", block.format(name)], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True)
+        assert (out.returncode == 0 and out.stdout.strip().endswith(want)) if want else out.returncode, out.stderr
+
+
 NAMES = "Mr. Rolf Amberson of Zenith Harbour Limited lives at 12 Cedar Hill Road and met Ms Ida Quill there.\nMR ROLF AMBERSON SIGNED FOR ZENITH HARBOUR LIMITED TODAY.\n"
 
 

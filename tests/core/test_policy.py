@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.functions import spans as scans
 from veilspan.operators import policy, vocabulary
 
 CASES = [
@@ -103,3 +106,31 @@ def test_chunks_cover_the_text(col):
     assert all(text[c.start : c.start + len(c.text)] == c.text and len(c.text) <= 1200 for c in got)
     assert all(a.start < b.start <= a.start + len(a.text) for a, b in zip(got, got[1:])) and got[-1].start + len(got[-1].text) == len(text)
     assert col(vocabulary.chunks(F.col("t")), t="") == []
+
+
+def chunks_one_by_one(text, size=60, overlap=10):
+    at, out = 0, []
+    while text:
+        piece = text[at : at + size]
+        last = at + size >= len(text)
+        ends = [i for i in range(size // 2, len(piece)) if piece[i] == "\n" or piece[i : i + 2] == ". "]
+        n = len(piece) if last or not ends else ends[-1] + 1
+        out.append((at, piece[:n]))
+        if last:
+            break
+        at += n - overlap
+    return out
+
+
+def test_chunks_are_those_of_a_walk(spark):
+    texts = []
+    for seed in range(60):
+        draw = random.Random(seed)
+        texts.append("".join(draw.choice(["a", "b", "é😀", " ", ". ", ".", "\n", "word " * 3, "x" * 70]) for _ in range(draw.choice([0, 5, 80, 300]))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", vocabulary.chunks(F.col("t"), 60, 10).alias("c")).collect()
+    assert {r.i: [(c.start, c.text) for c in r.c] for r in rows} == {i: chunks_one_by_one(x) for i, x in enumerate(texts)}
+
+
+def test_scans_of_many_matches(spark):
+    rows = spark.createDataFrame([(n, "é1" * n + "z") for n in (0, 1, 2, 700)], "n int, t string").select("n", scans.scan(F.col("t"), r"\d").alias("s")).collect()
+    assert all([(s.start, s.end, s.text) for s in r.s] == [(2 * i + 1, 2 * i + 2, "1") for i in range(r.n)] for r in rows)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.functions import validators
 from veilspan.operators import evaluate, overlap, recognizers, rewrite, surrogates, verify
 
 SCHEMA = "doc_id long, entity_type string, start int, end int, score double, text string"
@@ -66,9 +67,18 @@ def test_five_hundred_people_have_five_hundred_surrogates(spark):
     df = spark.range(500).selectExpr("1L AS doc_id", "'PERSON' AS entity_type", "concat('Person Number', id) AS text", "cast(id AS int) AS start")
     once, again = (surrogates.mapping(df, types=("PERSON",)).orderBy("key").collect() for _ in range(2))
     assert once == again and len({r.surrogate for r in once}) == 500
+    assert not any(c.isdigit() or c == "(" for r in once for c in r.surrogate)
     many = spark.range(6000).selectExpr("1L AS doc_id", "'IP_ADDRESS' AS entity_type", "concat('10.0.', id) AS text", "cast(id AS int) AS start")
     mapped = surrogates.mapping(many, types=("IP_ADDRESS",))
     assert mapped.select("surrogate").distinct().count() == 6000 and surrogates.collisions(mapped).count() == 0
+    assert mapped.where(validators.is_ipv4(F.col("surrogate"))).count() == 6000
+
+
+def test_an_empty_pool_ends_in_numbers(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.GENERATORS, "PERSON", lambda d, o: F.concat(F.lit("P"), d.between(0, 1, 20)))
+    df = spark.range(30).selectExpr("1L AS doc_id", "'PERSON' AS entity_type", "concat('Person ', id) AS text", "cast(id AS int) AS start")
+    got = [r.surrogate for r in surrogates.mapping(df, types=("PERSON",)).collect()]
+    assert len(set(got)) == 30 and sum(" " not in x for x in got) >= 18
 
 
 def test_first_type_names_a_key_and_aliases_follow(spark):
@@ -81,6 +91,17 @@ def test_first_type_names_a_key_and_aliases_follow(spark):
     assert verify.shared_surrogates(surrogates.with_aliases(mapped, aliases)).count() == 1
 
 
+def test_the_last_alias_wins_and_chains_are_followed(spark):
+    names = ["A", "B", "C", "D", "X", "Y"]
+    df = spark.createDataFrame([(1, "PERSON", n, i) for i, n in enumerate(names)], "doc_id long, entity_type string, text string, start int")
+    mapped = surrogates.mapping(df)
+    rows = [("A", "B", 0), ("B", "C", 1), ("N", "A", 0), ("D", "X", 0), ("D", "C", 2), ("X", "Y", 0), ("Y", "X", 0)]
+    aliases = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, variant string, canonical string, turn int")
+    got = {r.key: r.surrogate for r in surrogates.with_aliases(mapped, aliases).collect()}
+    own = {r.key: r.surrogate for r in mapped.collect()}
+    assert {got[k] for k in "abcdn"} == {own["c"]} and got["x"] == got["y"] and len(got) == 7
+
+
 REWRITES = [
     ("Ann Lee met ANN   LEE and ann\nlee.", "Bo Ray met Bo Ray and Bo Ray.", 3),
     ("Annlee, Ann Leeds, xAnn Lee, Ann Lee's", "Annlee, Ann Leeds, xAnn Lee, Bo Ray's", 1),

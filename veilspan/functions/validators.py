@@ -134,3 +134,11 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {
     "IP_ADDRESS": is_ipv4,
     "IBAN_CODE": is_iban,
 }
+
+
+def is_valid(entity_type: Column, value: Column) -> Column:
+    """Whether a value passes its type's validator; NULL for types that have none, as for a NULL value."""
+    out = F.when(F.lit(False), F.lit(True))
+    for name, check in VALIDATORS.items():
+        out = out.when(entity_type == name, check(value))
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import text as shape
 from veilspan.functions.spans import EDGE
 from veilspan.operators import policy
+from veilspan.operators.overlap import islands
 
 MUTUAL = 0.5
 CRITERIA = {"strict": (False, False), "relaxed": (True, False), "coverage": (True, True)}  # containment counts, type is ignored
@@ -25,14 +26,15 @@ def matched(detections: DataFrame, annotations: DataFrame, criterion: str = "str
 
     In order of start, each annotation takes the detection with the largest overlap among those that
     overlap it by half of either, or contain it where containment counts; of equals the
-    first. A detection is taken once, unless it contains the annotation and that counts.
+    first. A detection is taken once, unless it contains the annotation and that counts. Empty spans match nothing.
     """
     contain, any_type = CRITERIA[criterion]
-    listed = lambda df: F.sort_array(F.collect_list(F.struct("start", "end", "entity_type")))
-    a = in_region(annotations, region).groupBy(*keys).agg(listed(annotations).alias("a"))
-    d = in_region(detections, region).groupBy(*keys).agg(listed(detections).alias("d"))
+    sides = [in_region(df, region).select(*keys, "start", "end", "entity_type", F.lit(side).alias("side")) for df, side in ((annotations, "a"), (detections, "d"))]
+    apart = islands(sides[0].unionByName(sides[1]), keys)  # spans of different islands share nothing, so each is matched alone
+    spans_of = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end", "entity_type")))).alias(side)
+    both = apart.groupBy(*keys, "island").agg(spans_of("a"), spans_of("d"))
     span = "array<struct<start:int,end:int,entity_type:string>>"
-    both = a.join(d, list(keys), "full").select(*keys, *(F.coalesce(F.col(x).cast(span), F.array().cast(span)).alias(x) for x in "ad"))
+    both = both.select(*keys, *(F.col(x).cast(span).alias(x) for x in "ad"))
     state = "struct<used:array<int>,hit:array<boolean>>"
 
     def step(s: Column, x: Column) -> Column:

@@ -66,7 +66,11 @@ def merge_addresses(df: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("d
     whole at most LONGEST, and the group reads as an address (postal code within, or a
     lead-in before).
     """
-    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "entity_type", "score"))).alias("spans"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    marked = df.withColumn("_near", F.coalesce((F.col("start") - F.lag("end").over(order) <= GAP) & ~F.col("entity_type").isin(*STRUCTURED), F.lit(False)))
+    marked = marked.withColumn("_near", F.max("_near").over(Window.partitionBy(*keys)) if "text" in df.columns else F.lit(True))
+    apart = marked.where("not _near")  # in texts without neighbours nothing can merge, so they aren't read; spans without their text need it, though
+    lists = marked.where("_near").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "entity_type", "score"))).alias("spans"))
     joined = lists.join(texts.select(*keys, F.col(text_column).alias("_text")), list(keys))
     body = F.col("_text")
     group = "struct<start:int,end:int,entity_type:string,score:double,open:boolean>"
@@ -83,7 +87,8 @@ def merge_addresses(df: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("d
 
     merged = F.aggregate("spans", F.array().cast(f"array<{group}>"), step)
     rows = joined.select(*keys, "_text", F.explode(merged).alias("d")).select(*keys, "d.entity_type", "d.start", "d.end", "d.score", "_text")
-    return rows.withColumn("text", spans.between(F.col("_text"), F.col("start"), F.col("end"))).drop("_text")
+    merged_rows = rows.withColumn("text", spans.between(F.col("_text"), F.col("start"), F.col("end"))).drop("_text")
+    return merged_rows.unionByName(apart.select(merged_rows.columns)) if "text" in df.columns else merged_rows
 
 
 def canonical_names(df: DataFrame, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -128,13 +128,18 @@ def detections(text: Column, recognizers: Iterable[Recognizer] = DEFAULT, wanted
     return F.coalesce(F.filter(every, lambda d: d["score"] >= floor), F.array().cast(DETECTION))
 
 
-def detect(df: DataFrame, text_column: str = "text", keys: tuple[str, ...] = ("doc_id",), recognizers: Iterable[Recognizer] = DEFAULT, wanted: Iterable[str] | None = None, floor: float = FLOOR) -> DataFrame:
-    """One row per span: keys, entity_type, start, end, score, text."""
+def detect(df: DataFrame, text_column: str = "text", keys: tuple[str, ...] = ("doc_id",), recognizers: Iterable[Recognizer] = DEFAULT, wanted: Iterable[str] | None = None, floor: float = FLOOR, before: int | None = None) -> DataFrame:
+    """One row per span: keys, entity_type, start, end, score, text, and with before=n the n characters ahead of it."""
     some = [r for r in recognizers if wanted is None or r.entity_type in set(wanted)]
     if some and all(r.needs for r in some):  # then the test reaches the scan as a pushed filter
         df = df.where(reduce(lambda a, b: a | b, [F.contains(F.col(text_column), F.lit(n)) for n in sorted({r.needs for r in some})]))
-    found = df.select(*keys, F.explode(detections(F.col(text_column), some, None, floor)).alias("d"))
-    return found.select(*keys, "d.entity_type", "d.start", "d.end", "d.score", "d.text")
+    every = detections(F.col(text_column), some, None, floor)
+    if before is None:
+        found = df.select(*keys, F.explode(every).alias("d"))
+        return found.select(*keys, "d.entity_type", "d.start", "d.end", "d.score", "d.text")
+    led = F.transform(every, lambda d: F.struct(d.alias("d"), spans.preceding(F.col(text_column), d["start"], before).alias("before")))
+    found = df.select(*keys, F.explode(led).alias("x"))
+    return found.select(*keys, "x.d.entity_type", "x.d.start", "x.d.end", "x.d.score", "x.d.text", "x.before")
 
 
 def with_floor(recognizer: Recognizer, score: float) -> Recognizer:

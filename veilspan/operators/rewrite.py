@@ -56,32 +56,54 @@ def replaced(value: Column, keys: Column, to: Column) -> Column:
     return F.when(F.size(found) > 0, whole).otherwise(F.struct(value.alias("text"), F.lit(0).alias("hits")))
 
 
-def rewrite(texts: DataFrame, mapped: DataFrame, scope: tuple[str, ...] = ("doc_id",), row: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
-    """row, text, replacements: every text rewritten by the mapping of its scope.
+def gated(mapped: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """scope, key, surrogate and gate: the longest token of each key, which is rarer than words such as `the`."""
+    runs = tokens(F.col("key"))
+    size = lambda x: F.when(x.rlike("[a-z0-9]"), F.length(x)).otherwise(F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(size(x), x.alias("token"))))["token"]
+    return mapped.select(*scope, "key", "surrogate", longest.alias("gate")).where("gate is not null")
+
+
+def rewrite(texts: DataFrame, mapped: DataFrame, scope: tuple[str, ...] = ("doc_id",), row: tuple[str, ...] = ("doc_id",), text_column: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """row, carried, text, replacements: every text rewritten by the mapping of its scope.
 
     row names the columns that identify a text (scope among them, or none for one
     mapping over the whole corpus: scope=()).
     """
-    runs = tokens(F.col("key"))
-    word = F.get(F.filter(runs, lambda x: x.rlike("[a-z0-9]")), 0)
-    keys = mapped.select(*scope, "key", "surrogate", F.coalesce(word, F.get(runs, 0)).alias("gate")).where("gate is not null")
+    keys = gated(mapped, scope)
     to = F.map_from_entries(F.collect_set(F.struct("key", "surrogate"))).alias("_to")
     if scope:
         some = keys.groupBy(*scope).agg(to)
     else:
         seen = texts.select(*row, F.explode(F.array_distinct(tokens(F.col(text_column)))).alias("gate"))
         some = seen.join(keys, "gate").groupBy(*row).agg(to)
-    joined = texts.select(*row, F.col(text_column).alias("_text")).join(some, list(scope or row), "left")
+    joined = texts.select(*row, *carried, F.col(text_column).alias("_text")).join(some, list(scope or row), "left")
     out = F.when(F.col("_to").isNotNull(), replaced(F.col("_text"), F.map_keys("_to"), F.col("_to"))).otherwise(F.struct(F.col("_text").alias("text"), F.lit(0).alias("hits")))
-    return joined.withColumn("_out", out).select(*row, F.col("_out.text").alias("text"), F.col("_out.hits").alias("replacements"))
+    return joined.withColumn("_out", out).select(*row, *carried, F.col("_out.text").alias("text"), F.col("_out.hits").alias("replacements"))
+
+
+def spliced_text(value: Column, sorted_spans: Column) -> Column:
+    """value with disjoint spans (start, end, surrogate), in order, put in by offset."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, d: F.struct(d["end"].alias("at"), F.concat(s["out"], spans.between(value, s["at"], d["start"]), d["surrogate"]).alias("out"))
+    whole = lambda done: F.concat(done["out"], F.substring(value, done["at"] + 1, F.length(value)))
+    return spans.let(F.aggregate(sorted_spans, zero, step), whole)
+
+
+def spliced_rows(texts: DataFrame, found: Column, keys: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
+    """keys, text, replacements: the disjoint spans that an array column of each row itself holds, put in by offset."""
+    rows = texts.select(*keys, F.col(text_column).alias("_text"), F.sort_array(found).alias("_spans"))
+    new = F.when(F.size("_spans") > 0, spliced_text(F.col("_text"), F.col("_spans"))).otherwise(F.col("_text"))
+    return rows.select(*keys, new.alias("text"), F.greatest(F.coalesce(F.size("_spans"), F.lit(0)), F.lit(0)).alias("replacements"))
 
 
 def spliced(texts: DataFrame, spans_with_surrogates: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
-    """keys, text, replacements: disjoint spans (keys, start, end, surrogate) put in by offset."""
+    """keys, text, replacements: disjoint spans (keys, start, end, surrogate) put in by offset.
+
+    keys must tell rows apart: rows that share them, or hold a null among them, raise no error but each get all
+    the spans of those keys, or none.
+    """
     lists = spans_with_surrogates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("_spans"))
     both = texts.select(*keys, F.col(text_column).alias("_text")).join(lists, list(keys), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, d: F.struct(d["end"].alias("at"), F.concat(s["out"], spans.between(F.col("_text"), s["at"], d["start"]), d["surrogate"]).alias("out"))
-    done = F.aggregate("_spans", zero, step)
-    new = F.concat(done["out"], F.substring(F.col("_text"), done["at"] + 1, F.length("_text")))
-    return both.select(*keys, F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(new).alias("text"), F.coalesce(F.size("_spans"), F.lit(0)).alias("replacements"))
+    new = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(spliced_text(F.col("_text"), F.col("_spans")))
+    return both.select(*keys, new.alias("text"), F.coalesce(F.size("_spans"), F.lit(0)).alias("replacements"))

@@ -33,6 +33,13 @@ def missing(rewritten: DataFrame, kept: tuple[str, ...], text_column: str = "tex
     return row.select(F.explode(pairs).alias("x")).where("not x.found").select("x.phrase")
 
 
+def legible_secrets(texts: DataFrame, secrets: tuple[str, ...], keys: tuple[str, ...] = ("doc_id", "name")) -> DataFrame:
+    """keys, value of secrets that can still be read in redacted images (texts: keys, text as recognised), in any case."""
+    asked = F.array(*[F.lit(" ".join(x.lower().split())) for x in secrets]).cast("array<string>")
+    found = F.filter(asked, lambda v: (v != "") & F.contains(shape.key(F.col("text")), v))
+    return texts.select(*keys, F.explode(found).alias("value")).distinct()
+
+
 def structure(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, part, kind, blocks, filled: what a rewrite must not change."""
     return blocks.groupBy(*keys, "part", "kind").agg(F.count("*").alias("blocks"), F.sum(F.when(F.trim("text") != "", 1).otherwise(0)).alias("filled"))

@@ -17,8 +17,10 @@ ACRONYM = r"^[A-Z][A-Z0-9&./\-]{1,11}$"
 INSTITUTION = rf"(?i){EDGE}(?:bank|limited|ltd|llp|corporation|incorporated|inc|company|holdings|trust|& co){EDGE}|{EDGE}p(?:riva)?t[ve]?\.?\s+l(?:imi)?t[ed]*{EDGE}"
 ENTITY = rf"^[A-Z][\w&.,'’\- ]{{2,70}}{EDGE}(?:Limited|Ltd\.?|LLP|Private Limited|Pvt\.? Ltd\.?|Inc\.?|Corporation|Bank|Securities|Trust|Associates|& Co\.?)\s*$"
 GLOSSARY_HEADING = r"(?i)^\s*(?:section\s+[ivx]+\s*[:\-]?\s*)?(?:definitions?(?:\s+and\s+abbreviations?)?|abbreviations?|glossary)\s*$"
+GLOSSARY_LINE = GLOSSARY_HEADING.replace("(?i)^", "(?im)^", 1)  # in a text of several lines
 DEFINITION_LINE = r"(?i)^\s*([^\n|]{2,80}?)\s*(?:\||\s{2,}|\s+means\s+|\s+shall\s+mean\s+|:)\s*\S"
 SHOUTED = rf"{EDGE}[A-Z][A-Z&.'\-]*(?:\s+[A-Z][A-Z&.'\-]*){{2,}}{EDGE}"
+UNLOWERED_LINE = r"(?<![^\n])[^a-z\n]++(?![^\n])"
 PAGE_NUMBER = r"(?<=[A-Za-z])\d{1,3}\s*$"
 SHOUT_MARGIN = 2000
 PHRASE_WORDS = 6
@@ -117,13 +119,15 @@ def uncapitalised(candidates: DataFrame, texts: DataFrame, keys: tuple[str, ...]
     """Distinct keys and phrase of the candidates' phrases that their document writes small.
 
     candidates: keys and phrase. Each document's candidates are sent to its text and sought in
-    its words, so the phrases of a text (six for each word) are never made.
+    its words, so the phrases of a text (six for each word) are never made; a candidate whose first word the
+    text never writes small, as most names, is given up without a regular expression.
     """
     asked = candidates.where("phrase is not null").groupBy(*keys).agg(F.collect_set("phrase").alias("_asked"))
     met = asked.join(texts.select(*keys, F.col(text_column).alias("_text")), list(keys))
     sought = lambda p: F.concat(F.lit(" \\Q"), F.replace(p, F.lit(" "), F.lit("\\E \\^?\\Q")), F.lit("\\E "))
     found = met.select(*keys, "_asked", marked_words(F.col("_text")).alias("_words"))
-    return found.select(*keys, F.explode(F.filter("_asked", lambda p: F.rlike(F.col("_words"), sought(p)))).alias("phrase")).distinct()
+    begins = lambda p: F.contains(F.col("_words"), F.concat(F.lit(" "), F.split_part(p, F.lit(" "), F.lit(1)), F.lit(" ")))
+    return found.select(*keys, F.explode(F.filter("_asked", lambda p: begins(p) & F.rlike(F.col("_words"), sought(p)))).alias("phrase")).distinct()
 
 
 def shouted_windows(text: Column, margin: int = SHOUT_MARGIN) -> Column:
@@ -143,11 +147,9 @@ def shouted_windows(text: Column, margin: int = SHOUT_MARGIN) -> Column:
 
 def heading_lines(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """keys, start, end, heading of lines in capitals that repeat in their document or end in a page number."""
-    lines = texts.select(*keys, F.posexplode(F.split(text_column, "\n")).alias("line_no", "line"))
-    order = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(order), F.lit(0)).cast("int"))
+    found = texts.select(*keys, F.explode(spans.scan(F.col(text_column), UNLOWERED_LINE)).alias("line")).select(*keys, "line.start", F.col("line.text").alias("line"))
     bare = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    capitals = placed.withColumn("bare", bare).where((F.col("bare") != "") & (F.upper("bare") == F.col("bare")) & F.col("bare").rlike(r"\p{L}"))
+    capitals = found.withColumn("bare", bare).where((F.col("bare") != "") & (F.upper("bare") == F.col("bare")) & F.col("bare").rlike(r"\p{L}"))
     keyed = capitals.withColumn("key", F.trim(F.regexp_replace("bare", PAGE_NUMBER, ""))).where("key != ''")
     again = F.count("*").over(Window.partitionBy(*keys, "key"))
     return keyed.withColumn("n", again).where("n > 1 or key != bare").select(*keys, "start", (F.col("start") + F.length("line")).cast("int").alias("end"), F.col("bare").alias("heading"))
@@ -171,23 +173,31 @@ def truecased(text: Column, headings: Column) -> Column:
 
 
 def chunks(text: Column, size: int = 1200, overlap: int = 200) -> Column:
-    """array<struct<start,text>> for a model with a bounded window: cut at the last line or sentence end of a chunk's second half."""
-    kind = "struct<at:int,done:boolean,out:array<struct<start:int,text:string>>>"
-    steps = F.sequence(F.lit(0), F.floor(F.length(text) / (size // 2 - overlap)).cast("int") + 1)
-
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        piece = F.substring(text, at + 1, F.lit(size))
-        half = F.substring(piece, size // 2 + 1, size)
-        back = F.reverse(half)
-        line, stop = F.instr(back, "\n"), F.instr(back, " .")
-        cut = F.greatest(F.when(line > 0, F.length(piece) - line), F.when(stop > 0, F.length(piece) - stop - 1))
-        last = at + size >= F.length(text)
-        length = F.when(last | cut.isNull(), F.length(piece)).otherwise(cut + 1)
-        one = F.struct(at.cast("int").alias("start"), F.substring(piece, F.lit(1), length).alias("text"))
-        after = F.greatest(at + 1, at + length - overlap).cast("int")
-        more = F.struct(after.alias("at"), last.alias("done"), F.array_append(state["out"], one).alias("out")).cast(kind)
-        return F.when(state["done"], state).otherwise(more)
-
-    zero = F.struct(F.lit(0).alias("at"), (F.length(text) == 0).alias("done"), F.array().alias("out")).cast(kind)
-    return F.aggregate(steps, zero, step)["out"]
+    """array<struct<start,text>> for a model with a bounded window: cut at the last line or sentence end of a chunk's second half.
+
+    One scan finds the ends, a fold over them sets the bounds, and chunks are taken out of pieces of fixed
+    length, so the work grows with the text alone.
+    """
+    span, stride = "struct<start:int,end:int>", size - overlap
+    kind = f"struct<at:int,best:int,out:array<{span}>>"
+    one = lambda a, b: F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
+    state = lambda at, best, out: F.struct(at.cast("int").alias("at"), best.cast("int").alias("best"), out.alias("out")).cast(kind)
+
+    def moved(s: Column, reach: Column) -> Column:
+        """The state once no chunk ends before reach any more: the open one at its best end, then those without an end in them."""
+        closed = state(s["best"] + 1 - overlap, F.lit(None), F.concat(s["out"], one(s["at"], s["best"] + 1)))
+        some = lambda c: F.ceil((reach - c["at"] - size) / stride).cast("int")
+        bare = lambda c: F.transform(F.sequence(F.lit(0), some(c) - 1), lambda i: F.struct((c["at"] + i * stride).cast("int").alias("start"), (c["at"] + i * stride + size).cast("int").alias("end")))
+        onward = lambda c: F.when(reach > c["at"] + size, state(c["at"] + some(c) * stride, F.lit(None), F.concat(c["out"], bare(c)))).otherwise(c)
+        return F.when(reach <= s["at"] + size, s).otherwise(let(F.when(s["best"].isNull(), s).otherwise(closed), onward))
+
+    def step(s: Column, end: Column) -> Column:
+        after = end["start"] + F.when(end["text"] == ".", 2).otherwise(1)  # a sentence end holds the blank behind it
+        return let(moved(s, after), lambda c: F.when(end["start"] >= c["at"] + size // 2, state(c["at"], end["start"], c["out"])).otherwise(c))
+
+    ends = F.aggregate(spans.scan(text, r"\n|\.(?= )"), state(F.lit(0), F.lit(None), F.array().cast(f"array<{span}>")), step)
+    bounds = let(let(ends, lambda s: moved(s, F.length(text))), lambda s: F.concat(s["out"], one(s["at"], F.length(text))))
+    whole = "(?s).{1," + str(size) + "}"
+    cut = lambda parts, b: F.substring(F.array_join(F.slice(parts, F.floor(b["start"] / size).cast("int") + 1, 3), ""), (b["start"] % size + 1).cast("int"), b["end"] - b["start"])
+    found = let(F.regexp_extract_all(text, F.lit(whole), F.lit(0)), lambda parts: F.transform(bounds, lambda b: F.struct(b["start"].alias("start"), cut(parts, b).alias("text"))))
+    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<struct<start:int,text:string>>"))

@@ -1,7 +1,7 @@
 """Images: the relational parts, and the interface for readers, detectors and painters.
 
-Character recognition, code and face detection and painting need libraries that may be absent; they are plugged
-in as functions. What is relational about images (line bands, plausibility, card
+Character recognition and code and face detection need libraries that may be absent; they are plugged
+in as functions. Sizes, painting, blanking and text regions come from `pixels` unless something else is plugged in. What is relational about images (line bands, plausibility, card
 markers, spans to words, merging of boxes) is done in DataFrame operations.
 """
 
@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans
+from veilspan.operators import policy
+from veilspan.operators import recognizers as rec
+from veilspan.sources import pixels
 
 MIN_CONFIDENCE = 30
 MAX_HEIGHT, MAX_AREA = 0.12, 0.05  # of the image: larger "words" are artefacts
@@ -40,12 +43,15 @@ FINDINGS = "doc_id string, name string, kind string, l int, t int, r int, b int,
 
 @dataclass
 class ImageTools:
-    """Plug-ins; one that is missing finds nothing. read: words; detect: by kind, boxes; paint: new bytes; size: pixels."""
+    """Plug-ins. read: words; detect: by kind (`code`, `face`), boxes; without them nothing is found. paint: new bytes
+    from boxes (l, t, r, b, kind), None if it can't; size: width and height, None if unknown; blank: an empty image.
+    """
 
     read: Callable[[bytes], list[dict]] | None = None
     detect: dict[str, Callable[[bytes], list[tuple[int, int, int, int]]]] = field(default_factory=dict)
-    paint: Callable[[bytes, list[tuple]], bytes] | None = None
-    size: Callable[[bytes], tuple[int, int]] | None = None
+    paint: Callable[[bytes, list[tuple]], bytes | None] = pixels.painted
+    size: Callable[[bytes], tuple[int, int] | None] = pixels.size
+    blank: Callable[[bytes], bytes | None] = pixels.blank
 
 
 def words(media: DataFrame, tools: ImageTools) -> DataFrame:
@@ -136,21 +142,83 @@ def objects(media: DataFrame, tools: ImageTools) -> DataFrame:
     return media.select("doc_id", "part", "payload").mapInPandas(run, FINDINGS)
 
 
+def _shapes(media: DataFrame, kind: str, detail: str, find: Callable[[bytes], list[tuple[int, int, int, int]]]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in FINDINGS.split(", ")]
+        for batch in batches:
+            rows = [(d, p, kind, *box, detail) for d, p, x in zip(batch["doc_id"], batch["part"], batch["payload"], strict=True) for box in find(x)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return media.select("doc_id", "part", "payload").mapInPandas(run, FINDINGS)
+
+
+def text_regions(media: DataFrame) -> DataFrame:
+    """Findings of lines of print by shape, whether or not they can be read."""
+    return _shapes(media, "text", "unread", lambda x: pixels.text_regions(x, MAX_HEIGHT, MAX_AREA))
+
+
+def code_regions(media: DataFrame) -> DataFrame:
+    """Findings of matrix codes by shape, whether or not they can be decoded (I8)."""
+    return _shapes(media, "code", "by shape", pixels.code_regions)
+
+
+def findings(media: DataFrame, tools: ImageTools, recognizers: tuple = rec.DEFAULT) -> DataFrame:
+    """doc_id, name, kind, l, t, r, b, detail: what to cover in each image, in the order text, codes, faces.
+
+    Words of private spans are covered; on identity cards the printed fields, every line and every region of print.
+    """
+    keys, box = ("doc_id", "name"), ("l", "t", "r", "b")
+    found = plausible(words(media, tools))
+    texts = image_text(found)
+    spotted = rec.detect(texts, keys=keys, recognizers=recognizers)
+    private = spotted.where(policy.decision(F.col("entity_type"), F.col("text")).isNull()).select(*keys, "start", "end", "entity_type")
+    on_words = sensitive_words(texts, private.unionByName(card_spans(texts)))
+    owned = cards(texts)
+    bands = line_bands(found).join(owned, list(keys), "left_semi").select(*keys, F.lit("text").alias("kind"), *box, F.lit("card").alias("detail"))
+    regions = text_regions(media.join(owned.withColumnRenamed("name", "part"), ["doc_id", "part"], "left_semi")).select(*on_words.columns)
+    shaped = code_regions(media).select(*on_words.columns)
+    return on_words.unionByName(bands).unionByName(regions).unionByName(shaped).unionByName(objects(media, tools).select(*on_words.columns))
+
+
+def redacted_media(media: DataFrame, tools: ImageTools, logos: bool = True, recognizers: tuple = rec.DEFAULT) -> DataFrame:
+    """doc_id, part, payload, regions: the images that change. media: doc_id, part, payload.
+
+    An image with findings is painted over; of the others a small graphic is blanked as a probable logo (with
+    logos). An image that can't be painted or blanked here stays as it is and is not returned.
+    """
+    found = findings(media, tools, recognizers)
+    lists = found.groupBy("doc_id", F.col("name").alias("part")).agg(F.collect_set(F.struct("l", "t", "r", "b", "kind")).alias("boxes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for d, p, x, boxes in zip(batch["doc_id"], batch["part"], batch["payload"], batch["boxes"], strict=True):
+                if boxes is not None and len(boxes):
+                    by_kind = {k: merged_boxes([tuple(int(b[c]) for c in ("l", "t", "r", "b")) for b in boxes if (b["kind"] == "code") == (k == "code")]) for k in ("text", "code")}
+                    new, n = tools.paint(x, [(*b, k) for k, v in by_kind.items() for b in v]), len(boxes)
+                else:
+                    new, n = tools.blank(x) if logos and is_logo(x, tools) else None, 1
+                if new is not None:
+                    out.append((d, p, new, n))
+            yield pd.DataFrame(out, columns=["doc_id", "part", "payload", "regions"])
+
+    both = media.select("doc_id", "part", "payload").join(lists, ["doc_id", "part"], "left")
+    return both.mapInPandas(run, "doc_id string, part string, payload binary, regions int")
+
+
 def painted(media: DataFrame, boxes: DataFrame, tools: ImageTools) -> DataFrame:
     """doc_id, part, payload of the images that have boxes, painted over by the plug-in."""
     lists = boxes.groupBy("doc_id", F.col("name").alias("part")).agg(F.collect_list(F.array("l", "t", "r", "b")).alias("boxes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            new = [tools.paint(x, [tuple(map(int, y)) for y in b]) if tools.paint else x for x, b in zip(batch["payload"], batch["boxes"], strict=True)]
+            new = [y if (y := tools.paint(x, [tuple(map(int, z)) for z in b])) is not None else x for x, b in zip(batch["payload"], batch["boxes"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "part": batch["part"], "payload": new})
 
     return media.join(lists, ["doc_id", "part"]).select("doc_id", "part", "payload", "boxes").mapInPandas(run, "doc_id string, part string, payload binary")
 
 
 def is_logo(payload: bytes, tools: ImageTools, max_pixels: int = 400_000) -> bool:
-    """A small graphic; without a size plug-in nothing is one."""
-    if tools.size is None:
-        return False
-    width, height = tools.size(payload)
-    return width * height <= max_pixels
+    """A small graphic; an image of unknown size is none."""
+    shape = tools.size(payload)
+    return shape is not None and shape[0] * shape[1] <= max_pixels

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilspan.operators.rewrite import gated, tokens
+
 # Names of the format.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SPACE = "{http://www.w3.org/XML/1998/namespace}space"
@@ -24,6 +27,7 @@ TEXT_PARTS = re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnotes|
 RELATIONS = re.compile(r"word/_rels/.*\.rels")
 PROPERTIES = ("docProps/core.xml", "docProps/app.xml")
 PROPERTY_NAMES = ("creator", "title", "subject", "description", "lastModifiedBy", "keywords", "Company", "Manager")
+UNREADABLE = "unreadable"  # in place of a container, for packages that can't be opened
 BLOCKS = "doc_id string, part string, block_no int, kind string, text string, cells array<string>, payload binary"
 _TEXTS = (WORD + "t", WORD + "delText")
 
@@ -43,11 +47,14 @@ def own_texts(paragraph: ET.Element) -> Iterator[ET.Element]:
 
 
 def _blocks_of(doc_id: str, content: bytes) -> Iterator[tuple]:
-    """Rows of one package; a package that can't be opened has none."""
+    """Rows of one package; a package that can't be opened or read has none."""
     try:
-        package = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+        yield from _read_blocks(doc_id, zipfile.ZipFile(io.BytesIO(content)))
+    except (zipfile.BadZipFile, ET.ParseError):
         return
+
+
+def _read_blocks(doc_id: str, package: zipfile.ZipFile) -> Iterator[tuple]:
     with package:
         parts = [(name, ET.fromstring(package.read(name))) for name in package.namelist() if TEXT_PARTS.fullmatch(name)]
         number = 0
@@ -189,25 +196,92 @@ def rewritten(content: bytes, mapping: dict[str, str], media: dict[str, bytes] |
     return out.getvalue(), hits
 
 
-def rewrite_packages(df: DataFrame, mapped: DataFrame, media: Callable[[str, bytes], bytes | None] | None = None) -> DataFrame:
-    """doc_id, content, hits (map of container to count). mapped: doc_id, key, surrogate."""
+def rewrite_packages(df: DataFrame, mapped: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """doc_id, content, hits (map of container to count). mapped: doc_id, key, surrogate; without doc_id it holds for all.
+    media: doc_id, part, payload of the images to put in.
+
+    A package that can't be opened is passed through as it is, with the one hit `unreadable`.
+    """
+    if "doc_id" not in mapped.columns:  # each package meets the keys that can occur in it
+        seen = blocks(df).select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("gate"))
+        mapped = seen.join(gated(mapped), "gate").select("doc_id", "key", "surrogate").distinct()
     maps = mapped.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "surrogate"))).alias("mapping"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, content, mapping in zip(batch["doc_id"], batch["content"], batch["mapping"], strict=True):
-                swapped = {}
-                if media is not None:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        swapped = {n: x for n in z.namelist() if n.startswith("word/media/") and (x := media(n, z.read(n))) is not None}
-                new, hits = rewritten(content, dict(mapping or {}), swapped)
+            for doc_id, content, mapping, images in zip(batch["doc_id"], batch["content"], batch["mapping"], batch["media"], strict=True):
+                swapped = {} if images is None else {x["part"]: bytes(x["payload"]) for x in images}
+                try:
+                    new, hits = rewritten(content, dict(mapping or {}), swapped)
+                    if swapped:
+                        hits["media"] = len(swapped)
+                except (zipfile.BadZipFile, ET.ParseError):
+                    new, hits = content, {UNREADABLE: 1}
                 yield pd.DataFrame({"doc_id": [doc_id], "content": [new], "hits": [hits]})
 
-    return df.join(maps, "doc_id", "left").select("doc_id", "content", "mapping").mapInPandas(run, "doc_id string, content binary, hits map<string,int>")
+    both = df.join(maps, "doc_id", "left")
+    if media is not None:
+        both = both.join(media.groupBy("doc_id").agg(F.collect_list(F.struct("part", "payload")).alias("media")), "doc_id", "left")
+    else:
+        both = both.withColumn("media", F.lit(None).cast("array<struct<part:string,payload:binary>>"))
+    return both.select("doc_id", "content", "mapping", "media").mapInPandas(run, "doc_id string, content binary, hits map<string,int>")
+
+
+def file_name(doc_id: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(doc_id, "/"), -1)
+
+
+def structure(df: DataFrame) -> DataFrame:
+    """doc_id, element, n of packages (doc_id, content): elements of the body that a rewrite must not change, and parts."""
+    names = {"p": "paragraphs", "tbl": "tables", "tr": "rows", "tc": "cells", "r": "runs", "sectPr": "sections", "br": "breaks", "inline": "drawings"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        counts = dict.fromkeys(names.values(), 0) | {"parts": len(z.namelist())}
+                        for node in ET.fromstring(z.read("word/document.xml")).iter():
+                            if (name := names.get(node.tag.rpartition("}")[2])) is not None:
+                                counts[name] += 1
+                except (zipfile.BadZipFile, ET.ParseError, KeyError):
+                    counts = {UNREADABLE: 1}
+                out += [(doc_id, k, n) for k, n in counts.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "element", "n"])
+
+    return df.select("doc_id", "content").mapInPandas(run, "doc_id string, element string, n int")
+
+
+def remaining(df: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """doc_id, part, target, hits of link targets that still stand in the XML of a package, field codes and relations among it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for name in z.namelist():
+                            if TEXT_PARTS.fullmatch(name) or RELATIONS.fullmatch(name):
+                                xml = z.read(name).decode("utf-8", "replace").lower()
+                                out += [(doc_id, name, t, n) for t in targets if (n := xml.count(t.lower()))]
+                except zipfile.BadZipFile:
+                    continue
+            yield pd.DataFrame(out, columns=["doc_id", "part", "target", "hits"])
+
+    return df.select("doc_id", "content").mapInPandas(run, "doc_id string, part string, target string, hits int")
 
 
 def save(df: DataFrame, folder: str) -> DataFrame:
-    """Write doc_id and content as packages named as before; returns doc_id and path."""
+    """Write doc_id and content as packages named as before; returns doc_id and path.
+
+    A package appears by one move when it is complete. Packages of one name from several folders keep them apart by
+    a number of their path's hash before the name.
+    """
+    same = F.count("*").over(Window.partitionBy("_name"))
+    df = df.withColumn("_name", file_name(F.col("doc_id"))).withColumn("_name", F.when(same > 1, F.concat_ws("-", F.hex(F.crc32(F.col("doc_id").cast("binary"))), "_name")).otherwise(F.col("_name")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -215,10 +289,12 @@ def save(df: DataFrame, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                path = f"{root}/{doc_id.rpartition('/')[2]}"
-                with store.open_output_stream(path) as out:
+            for doc_id, content, name in zip(batch["doc_id"], batch["content"], batch["_name"], strict=True):
+                path = f"{root}/{name}"
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
                     out.write(content)
+                store.move(part, path)
                 yield pd.DataFrame({"doc_id": [doc_id], "path": [path]})
 
-    return df.select("doc_id", "content").mapInPandas(run, "doc_id string, path string")
+    return df.select("doc_id", "content", "_name").mapInPandas(run, "doc_id string, path string")
