@@ -12,7 +12,10 @@ bit, the others go on to the next level; a key's slot is the number of set bits
 own. So n keys get slots 0 to n - 1, a lookup reads a fixed number of bits whatever n is,
 and the 32-bit fingerprint turns away keys that the file doesn't hold.
 
-Repeated keys: the file holds all their documents; keyed access finds the first. A null
+Files hold ascending keys, so the list of files routes a key to the one file that can hold it: a
+look-up opens one file however many there are.
+
+Repeated keys: a file holds all their documents, in order of their texts; keyed access finds the first. A null
 key can't be looked up: its row is stored under key -2**63. Null texts count as empty.
 """
 
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyarrow import fs
@@ -39,8 +43,9 @@ from veilspan.llm.words import mix, slices
 MAGIC = b"VSTOK001"
 END_ID = 0
 GAMMA = 2  # bits of a level per key that reaches it
-SHARD_IDS = 32 << 20  # a file ends after the document that reaches so many ids
+SHARD_IDS = 32 << 20  # a file ends after the batch that reaches so many ids
 NULL_KEY = -(1 << 63)
+READ_BYTES = 8 << 20  # of a file that are read at once
 _U = np.uint64
 _SECTIONS = (("keys", "<i8"), ("offsets", "<u8"), ("levels", "<u8"), ("ranks", "<u4"), ("fingerprints", "<u4"), ("ordinals", "<u4"))
 
@@ -104,7 +109,22 @@ class KeyIndex:
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, colon, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):  # Hadoop's names of it
+        uri = f"s3://{rest}"
+    return fs.FileSystem.from_uri(uri if colon or uri.startswith("file:") else f"file://{uri}")
+
+
+def _publish(store: fs.FileSystem, part: str, path: str) -> None:
+    """Give a complete file its name. Where another attempt did so before and the store refuses, that one's stands: its bytes are the same."""
+    size = store.get_file_info(part).size
+    try:
+        store.move(part, path)
+    except OSError:
+        found = store.get_file_info(path)
+        if found.type != fs.FileType.File or found.size != size:
+            raise
+        store.delete_file(part)
 
 
 class ShardWriter:
@@ -125,7 +145,7 @@ class ShardWriter:
         self.counts.append(counts)
         self.n_ids += len(ids)
 
-    def close(self) -> tuple[str, int, int]:
+    def close(self) -> tuple[str, int, int, int]:
         keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *self.counts]))])
         index = KeyIndex.build(keys)
@@ -138,8 +158,8 @@ class ShardWriter:
         directory = json.dumps({"n_ids": self.n_ids, "width": self.width, "sizes": index.sizes, "sections": parts}).encode()
         self.out.write(directory + len(directory).to_bytes(4, "little") + MAGIC)
         self.out.close()
-        self.store.move(self.part, self.path)
-        return self.uri, len(keys), self.n_ids
+        _publish(self.store, self.part, self.path)
+        return self.uri, int(keys[0]) if len(keys) else NULL_KEY, len(keys), self.n_ids
 
 
 class ShardReader:
@@ -161,9 +181,20 @@ class ShardReader:
 
     def ids(self, place: int) -> np.ndarray:
         """Unsigned 32-bit ids of the document at a place of the file."""
-        a, b = self.offsets[place], self.offsets[place + 1]
-        content = self.file.read_at(int(self.width * (b - a)), int(self.width * a))
-        return np.frombuffer(content, f"<u{self.width}").astype("<u4")
+        return next(self.ids_of(np.array([place])))
+
+    def ids_of(self, places: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of the documents at these places, in their order; neighbours are read together, up to READ_BYTES at once."""
+        start, stop = self.width * self.offsets[places], self.width * self.offsets[places + 1]
+        i = 0
+        while i < len(places):
+            j = i + 1
+            while j < len(places) and start[j] == stop[j - 1] and stop[j] - start[i] <= READ_BYTES:
+                j += 1
+            content = self.file.read_at(int(stop[j - 1] - start[i]), int(start[i]))
+            for k in range(i, j):
+                yield np.frombuffer(content, f"<u{self.width}", int(stop[k] - start[k]) // self.width, int(start[k] - start[i])).astype("<u4")
+            i = j
 
     def get(self, key: int) -> np.ndarray | None:
         """Ids of the first document with this key, or None."""
@@ -174,8 +205,8 @@ class ShardReader:
 def write_shards(df: DataFrame, folder: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode and write all texts in ascending id order; return the staged list of files.
 
-    Columns: shard (files in this order hold ascending ids), path, n_docs, n_ids. A task
-    that runs again writes the same bytes and puts the file in place in one move.
+    Columns: shard (files in this order hold ascending ids), path, first_key, n_docs, n_ids. A task
+    that runs again writes the same bytes and puts the file in place in one move; what lost tasks left is removed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,21 +216,87 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_column: str = "d
                 ids, at = coder.encode_bytes(data, bounds)
                 counts = np.diff(at)
                 ids = np.insert(ids, at[1:], end_id)
-                if writer is None:
-                    writer = ShardWriter(f"{folder}/shard-{part:06}-{number:06}.tok", 2 if max(len(coder.names), end_id + 1) <= 1 << 16 else 4)
-                writer.add(rows.column(0).fill_null(NULL_KEY).to_numpy().astype(np.int64), ids, counts + 1)
-                if writer.n_ids >= shard_ids:
+                keys = rows.column(0).fill_null(NULL_KEY).to_numpy().astype(np.int64)
+                if writer is not None and writer.n_ids >= shard_ids and writer.keys[-1][-1] != keys[0]:  # a key's documents stay together
                     done.append((part * 1_000_000 + number, *writer.close()))
                     number, writer = number + 1, None
+                if writer is None:
+                    writer = ShardWriter(f"{folder}/shard-{part:06}-{number:06}.tok", 2 if max(len(coder.names), end_id + 1) <= 1 << 16 else 4)
+                writer.add(keys, ids, counts + 1)
         if writer is not None:
             done.append((part * 1_000_000 + number, *writer.close()))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["shard", "path", "first_key", "n_docs", "n_ids"])
 
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
-    rows = df.select(id_column, text_column).repartitionByRange(partitions(df.sparkSession), id_column).sortWithinPartitions(id_column)
-    return staged(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "shards")
+    rows = df.select(id_column, text_column).repartitionByRange(partitions(df.sparkSession), id_column).sortWithinPartitions(id_column, text_column)
+    done = staged(rows.mapInArrow(run, "shard long, path string, first_key long, n_docs long, n_ids long"), "shards")
+    for left in store.get_file_info(fs.FileSelector(path)):
+        if left.path.endswith(".part"):
+            store.delete_file(left.path)
+    return done
+
+
+class Router:
+    """Keyed access to all files: a key is sought in the one file whose keys can hold it.
+
+    files: path and first_key of each, in order of shard; some 100 bytes a file on the driver, a file holding SHARD_IDS ids.
+    """
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.paths, self.first = [x for x, _ in files], np.array([k for _, k in files], np.int64)
+        self.opened: dict[str, ShardReader] = {}
+
+    @classmethod
+    def of(cls, shards: DataFrame) -> Router:
+        return cls([tuple(r) for r in shards.orderBy("shard").select("path", "first_key").collect()])
+
+    def path(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the file that can hold each key, -1 for keys before the first."""
+        return np.searchsorted(self.first, keys, "right") - 1
+
+    def get(self, key: int) -> np.ndarray | None:
+        """Ids of the first document with this key, or None."""
+        at = int(self.path(np.array([key], np.int64))[0])
+        if at < 0:
+            return None
+        path = self.paths[at]
+        reader = self.opened.setdefault(path, None) or ShardReader(path)
+        self.opened[path] = reader
+        return reader.get(key)
+
+
+def look_up(keys: DataFrame, shards: DataFrame, key_column: str = "doc_id") -> DataFrame:
+    """key_column, ids (array<long>, null for a key that no file holds) of distinct keys; each file is opened by one task."""
+    router = Router.of(shards)
+    first, paths = router.first, router.paths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, opened = None, None
+        for batch in batches:
+            wanted, files = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy()
+            edge = np.r_[0, np.flatnonzero(files[1:] != files[:-1]) + 1, len(files)]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                found: list[list[int] | None] = [None] * (b - a)
+                if a < b and files[a] >= 0:
+                    if opened != files[a]:
+                        reader, opened = ShardReader(paths[files[a]]), files[a]
+                    place = reader.index.find(wanted[a:b])
+                    order = np.argsort(place, kind="stable")
+                    order = order[place[order] >= 0]
+                    for i, ids in zip(order.tolist(), reader.ids_of(place[order]), strict=True):
+                        found[i] = ids.tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], [key_column, "ids"])
+
+    @F.pandas_udf("int")
+    def file_of(column: pd.Series) -> pd.Series:
+        known = column.to_numpy(np.int64, na_value=NULL_KEY)
+        return pd.Series((np.searchsorted(first, known, "right") - 1).astype(np.int32))
+
+    asked = keys.select(F.col(key_column).cast("long").alias(key_column)).where(F.col(key_column).isNotNull()).distinct()
+    dealt = asked.withColumn("file", file_of(key_column)).repartition(partitions(keys.sparkSession), "file").sortWithinPartitions("file", key_column)
+    return dealt.mapInArrow(run, f"`{key_column}` long, ids array<long>")
 
 
 def chosen(place: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -225,7 +322,7 @@ def read_shards(shards: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 place = chosen(place, reader.keys)
                 for a in range(0, len(place), 10_000):
                     some = place[a : a + 10_000]
-                    crc = [zlib.crc32(reader.ids(int(p))) for p in some]
+                    crc = [zlib.crc32(x) for x in reader.ids_of(some)]
                     keys = pa.array(reader.keys[some], mask=reader.keys[some] == NULL_KEY)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(base + reader.offsets[some]), pa.array(reader.offsets[some + 1] - reader.offsets[some]), pa.array(crc, pa.int64())], [id_column, "start", "n_tokens", "ids_crc32"])
 
