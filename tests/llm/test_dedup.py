@@ -94,7 +94,7 @@ def test_cuts_are_short_prefixes_and_keep_order():
     group = cuts.group(letters, path)
     assert (np.diff(group[order]) >= 0).all() and 40 < len(np.unique(group)) <= 50
     assert np.bincount(group).max() < 3 * len(at) / 50
-    depth = {(16 - (int(x) & -int(x)).bit_length()) // 16 if not x else 4 - ((int(x) & -int(x)).bit_length() - 1) // 16 for x in cuts.letters}
+    depth = {next((k for k in (1, 2, 3) if not int(x) & (1 << 64 - 16 * k) - 1), 4) for x in cuts.letters}
     assert len(depth) > 1  # prefixes of several lengths
     assert len(substring_dedup.Cuts(letters[:0], path[:0], 5).group(letters, path)) == len(at)
     same = substring_dedup.Cuts(np.repeat(letters[:1], 1000), np.repeat(path[:1], 1000), 9)  # one suffix everywhere
@@ -110,7 +110,7 @@ def test_internal_nodes_of_a_sorted_subtree(seed):
     letters, path = substring_dedup.letters_of(hashes, at, window), substring_dedup.rolled(hashes, window)[at]
     order = np.lexsort((path, letters))
     common = substring_dedup.lcp(letters[order], path[order], window)
-    for depth in (1, 2, 4, window):
+    for depth in (1, 2, 3, window):
         want = Counter(tuple(hashes[i : i + depth].tolist()) for i in at)
         first, last = substring_dedup.nodes(common, depth)
         got = {tuple(hashes[at[order[a]] : at[order[a]] + depth].tolist()): b - a for a, b in zip(first.tolist(), last.tolist(), strict=True)}

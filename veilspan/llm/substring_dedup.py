@@ -7,7 +7,7 @@ doc_id, or same document and earlier start) is removed; windows are judged on th
 Suffixes are cut at `window` words, the least length of a repeat, as in a truncated suffix tree: its
 internal nodes of that depth are the repeats, and a longer maximal repeat is a row of them whose
 leaves move on together. A suffix's label is its first LETTERS words (16 bits of each word's hash, in
-their order) and, for the path below, a 64-bit hash of all its words: 128 bits in all. Documents
+their order) and, for the path below, 80 bits of two hashes of all its words. Documents
 are dealt once into blocks of some MB, a table bucketed by block, and the trees are built in three passes over it:
 
 1. Census. Of each window a block notes the least hash among its half-window sequences;
@@ -48,7 +48,7 @@ BLOCK_BYTES = 6 << 20  # of text in a block, on average
 BUCKET_BYTES = 64 << 20  # of text in a file of blocks, on average
 MAX_BUCKETS = 100_000
 GROUP_SUFFIXES = 4_000_000  # a worker's memory holds so many suffixes of a group
-LETTERS = 4  # words that stand in a label themselves
+LETTERS = 3  # words that stand in a label themselves; 16 bits are left for the path
 SAMPLE = 1 << 18  # labels that the cuts are chosen from, as expected; they set sizes of groups, never results
 _TABLE_BITS = 22
 _U = np.uint64
@@ -67,7 +67,7 @@ def _slide(x: np.ndarray, n: int, how: np.ufunc) -> np.ndarray:
 
 
 def letters_of(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The first LETTERS words of each suffix, 16 bits each; equal order of numbers and of word sequences."""
+    """The first LETTERS words of each suffix, 16 bits each, the first one highest; the lowest 16 bits are free."""
     out = np.zeros(len(at), _U)
     for k in range(min(LETTERS, window)):
         out |= (hashes[at + k] >> _U(48)) << _U(48 - 16 * k)
@@ -139,11 +139,12 @@ class Block:
         self.window = window
         self.hashes = self.words.hashes()
         _, self.at = self.words.grams(window, hashes=self.hashes)
+        self.half = max(1, window // 2)
+        self.halves = rolled(self.hashes, self.half)
 
     def census(self) -> tuple[np.ndarray, np.ndarray]:
         """The least half-window hash of each window, and the places' hashes that are one."""
-        half = max(1, self.window // 2)
-        grams = rolled(self.hashes, half) | _U(1)
+        grams, half = self.halves | _U(1), self.half
         least = _slide(grams, self.window - half + 1, np.minimum)
         whole = np.zeros(len(grams), _U)
         whole[self.at] = least[self.at]
@@ -156,7 +157,8 @@ class Block:
         return self.ids[text], (at - self.words.first[text]).astype(np.int32)
 
     def labels(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return letters_of(self.hashes, at, self.window), rolled(self.hashes, self.window)[at]
+        other = mix(self.halves[at] * _U(0x9E3779B97F4A7C15) + self.halves[at + self.window - self.half])  # both halves, so all words
+        return letters_of(self.hashes, at, self.window) | (other >> _U(48)), rolled(self.hashes, self.window)[at]
 
     def suffixes(self, repeated: np.ndarray, cuts: Cuts) -> dict[str, np.ndarray]:
         """Suffixes that aren't pruned, sorted by group and label, equal ones by place; `new` marks the first of equals."""
