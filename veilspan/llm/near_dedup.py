@@ -15,7 +15,7 @@ nothing. Two documents are linked if 100 * |intersection| >= percent * |union|.
    full sets.
 4. No list is ever expanded into its pairs. First each member meets the list's smallest
    one, which joins most of a group of copies; while comparing what is left would cost more than the
-   lists are long, members meet the smallest one of another component, STARS times at most. Lists that still hold several components are
+   lists are long, members meet one of their list's last component, STARS times at most. Lists that still hold several components are
    compared block by block, blocks being bounded in members and in shingles: a first pass keeps the members with a candidate in another
    component, a second holds those members' full sets side by side and returns only the
    links that join components. Together the passes see all candidates, so no link
@@ -331,15 +331,14 @@ def _near_duplicates(df: DataFrame, percent: int, id_column: str, text_column: s
     for turn in range(STARS):
         placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "posted", F.coalesce("component", "rep").alias("comp"))
         placed = staged(placed, "placed")
-        sums = (F.count("*").alias("length"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        sums = (F.count("*").alias("length"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max(F.struct("comp", "rep")).alias("high"))
         blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-        open_ = staged(placed.groupBy("key").agg(*sums).where("low != high").select("key", "low", "length", blocks), "open")
+        open_ = staged(placed.groupBy("key").agg(*sums).where("low != high.comp").select("key", "high", "length", blocks), "open")
         rows, cost = open_.agg(F.sum("length"), F.sum(F.col("length") * F.col("blocks"))).first()
         if turn == STARS - 1 or not rows or cost < 2 * rows:
             break
-        others = placed.join(open_.where("blocks > 1").select("key", "low"), "key")
-        heads = others.where("comp != low").groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("head"))
-        star = others.join(heads, "key").where("comp != head.comp").select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        others = placed.join(open_.where("blocks > 1").select("key", "high"), "key").where("comp != high.comp")
+        star = others.select(F.col("high.rep").alias("a"), F.col("rep").alias("b")).distinct()
         found = staged(_joined(found, linked(star)), "components")
     cells = placed.drop("n").join(open_.select("key", "blocks"), "key").join(info, "rep")
     cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
