@@ -128,3 +128,45 @@ def test_buckets_of_a_table_with_long_texts_pad_least(spark):
     assert sum(r.bucket_length - r.n_tokens for r in rows) == slow_boundaries(tops, n, n * tops, 4)
     assert {r.bucket_length for r in rows} <= set(lengths)
     check_batches(rows, packing.BUDGET)
+
+
+def _order(*values):
+    """Spark's order: nulls first."""
+    return tuple((v is not None, v if v is not None else 0) for v in values)
+
+
+def test_shards_equal_a_slow_version(spark, odd):
+    docs = odd.select("doc_id", "text", "source").unionByName(spark.range(20, 300).selectExpr("id AS doc_id", "concat('t', id) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id < 40 THEN NULL ELSE concat('s', id % 7) END AS source"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    rows = rows.withColumn("unit", sharding._unit(F.xxhash64(F.lit(sharding.SEED), "doc_id", "text_crc32", "size"))).collect()
+    mixed = []
+    for source in {r.source for r in rows}:
+        own = sorted((r for r in rows if r.source == source), key=lambda r: _order(r.unit, r.doc_id, r.text_crc32, r.size))
+        mixed += [((2 * k - 1) / (2 * len(own)), r) for k, r in enumerate(own, 1)]
+    mixed.sort(key=lambda x: (x[0], x[1].source is not None, x[1].source or "", _order(x[1].unit, x[1].doc_id, x[1].text_crc32, x[1].size)))
+    n, want, filled = len(mixed), [], Counter()
+    for k, (_, r) in enumerate(mixed, 1):
+        shard = (24 * k - 1) // n
+        want.append((str(r.doc_id), r.size, r.text_crc32, shard, filled[shard]))
+        filled[shard] += 1
+    got = [(str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in sharding.stratified_shards(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_batches_equal_a_slow_version(spark):
+    docs = spark.range(500).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id % 200 END AS doc_id", "CAST(id * id * 13 % 700 AS INT) AS size")
+    rows = docs.select("doc_id", F.col("size").cast("long").alias("n"), sharding._unit(F.xxhash64(F.lit(packing.SEED), "doc_id", F.col("size").cast("long"))).alias("unit")).collect()
+    lengths = Counter(max(1, r.n) for r in rows)
+    tops, tokens = np.array(sorted(lengths)), Counter()
+    for r in rows:
+        tokens[max(1, r.n)] += r.n
+    bounds = packing.optimal_boundaries(tops, np.array([lengths[x] for x in tops]), np.array([tokens[x] for x in tops]), 5)
+    want, start = [], 0
+    for b, bound in enumerate(bounds):
+        own = sorted((r for r in rows if (bounds[b - 1] if b else 0) < max(1, r.n) <= bound), key=lambda r: _order(r.unit, r.doc_id, r.n))
+        each = max(1, 2000 // bound)
+        want += [(str(r.doc_id), r.n, b, bound, start + k // each, k % each) for k, r in enumerate(own)]
+        start += -(-len(own) // each)
+    got = [(str(r.doc_id), r.n_tokens, r.bucket, r.bucket_length, r.batch, r.slot) for r in packing.packed(docs, F.col("size"), buckets=5, budget=2000).collect()]
+    assert sorted(got) == sorted(want)
