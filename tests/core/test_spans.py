@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import validators
 from veilspan.operators import evaluate, overlap, recognizers, rewrite, surrogates, verify
+from veilspan.plans import queries
 
 SCHEMA = "doc_id long, entity_type string, start int, end int, score double, text string"
 
@@ -167,6 +169,27 @@ def test_located_values(spark):
     assert sorted((r.start, r.end) for r in evaluate.located(values, texts).collect()) == [(0, 7), (14, 22)]
 
 
+def test_located_values_as_written(spark):
+    schema = "doc_id long, entity_type string, value string"
+    values = spark.createDataFrame([(1, "PHRASE", "Of  the"), (1, "PHRASE", "of the"), (None, "PHRASE", "of the")], schema)
+    texts = spark.createDataFrame([(1, "OF The, of\nthe, of  the, _of the, of the_; éof theé"), (None, "of the"), (1, None)], "doc_id long, text string")
+    got = evaluate.located(values, texts, exact=True).collect()
+    assert sorted((r.doc_id or 0, r.start, r.end) for r in got) == [(0, 0, 6), (1, 0, 6), (1, 16, 23), (1, 44, 50)]
+
+
+ODD = "Of the_ of\nThe of\t the, _de la DE LA the  that éof theé of the of the that 😀de la"
+
+
+def test_located_values_agree_with_their_sql_on_odd_texts(spark, tmp_path):
+    rows = [(1, ODD), (None, ODD), (2, None), (2, ""), (3, "of the"), (3, "x of the")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(queries.ORACLE["located_values"])
+    got = queries.QUERIES["located_values"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str) != []
+
+
 def test_verification(spark):
     texts = spark.createDataFrame([(1, "Zenith stays, zenith; see www.a.example.com and https://b.example.org")], "doc_id long, text string")
     known = spark.createDataFrame([(1, "Zenith"), (1, "Gone"), (1, "")], "doc_id long, value string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,13 +113,19 @@ def described(value: Column, start: Column, end: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", shape.mask(value)).otherwise(F.concat_ws("–", start, end))
 
 
-def located(values: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
-    """keys, entity_type, start, end of every mention of known values (keys, entity_type, value)."""
+def located(values: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_column: str = "text", exact: bool = False) -> DataFrame:
+    """keys, entity_type, start, end of every mention of known values (keys, entity_type, value), in any case.
+
+    Any white space stands between the words of a mention, unless exact; then also an underscore is part of
+    a word. Null keys are equal.
+    """
     from veilspan.operators.rewrite import pattern
 
-    lists = values.groupBy(*keys, "entity_type").agg(F.collect_set(shape.key(F.col("value"))).alias("_values"))
-    both = lists.join(texts.select(*keys, F.col(text_column).alias("_text")), list(keys))
-    regex = pattern(F.col("_values"))
+    form = F.lower("value") if exact else shape.key(F.col("value"))
+    lists = values.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), "entity_type").agg(F.collect_set(form).alias("_values"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    both = lists.join(texts.select(*keys, F.col(text_column).alias("_text")), same)
+    regex = pattern(F.col("_values"), exact)
     found = F.regexp_extract_all(F.col("_text"), regex, F.lit(0))
     gaps = F.call_function("split", F.col("_text"), regex, F.lit(-1))
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))

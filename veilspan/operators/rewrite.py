@@ -25,15 +25,16 @@ def tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit(TOKEN), F.lit(0))
 
 
-def pattern(keys: Column) -> Column:
-    """The alternation of an array of keys."""
+def pattern(keys: Column, exact: bool = False) -> Column:
+    """The alternation of an array of keys. exact: with their own white space, and no mention beside an underscore."""
+    word = "[A-Za-z0-9_]" if exact else "[A-Za-z0-9]"
     longest = F.array_sort(keys, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
 
     def one(k: Column) -> Column:
         quoted = F.regexp_replace(k, r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1")
-        left = F.when(k.rlike("^[A-Za-z0-9]"), "(?<![A-Za-z0-9])").otherwise("")
-        right = F.when(k.rlike("[A-Za-z0-9]$"), "(?![A-Za-z0-9])").otherwise("")
-        return F.concat(left, F.lit("(?:"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(")"), right)
+        left = F.when(k.rlike(f"^{word}"), f"(?<!{word})").otherwise("")
+        right = F.when(k.rlike(f"{word}$"), f"(?!{word})").otherwise("")
+        return F.concat(left, F.lit("(?:"), quoted if exact else F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(")"), right)
 
     return F.concat(F.lit("(?iu)"), F.array_join(F.transform(longest, one), "|"))
 
