@@ -82,6 +82,24 @@ def test_a_worker_that_forgets_gives_the_same_ids(monkeypatch):
         assert coder.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_the_library_gets_a_bounded_number_of_units_a_call():
+    """What it returns for a unit is held until the call's ids are taken, many times their size."""
+    path = public_tokenizers.path(FILES[0])
+    coder, library = bpe.Codec(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    calls = []
+
+    class Counted:
+        def encode_batch(self, texts, **more):
+            calls.append(len(texts))
+            return library.encode_batch(texts, **more)
+
+    coder.tokenizer = Counted()
+    texts = [" ".join(f"w{i}" for i in range(40_000)), "", "w7 w7", " ".join(f"w{i}" for i in range(39_990, 40_010))]
+    ids, at = coder.encode(pa.array(texts))
+    assert sum(calls) >= 40_000 and max(calls) <= 1 << 14
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_odd_rows(odd, nothing):
     path = public_tokenizers.path(FILES[1])
     library = Tokenizer.from_file(path)

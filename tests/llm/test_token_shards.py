@@ -39,6 +39,14 @@ def test_files_round_trip(spark, odd, nothing, tmp_path):
     assert ts.read_shards(ts.write_shards(nothing, f"file://{tmp_path}/b", PATH)).count() == 0
 
 
+def test_batches_sent_to_the_writers_are_bounded(spark, odd, tmp_path, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(ts, "staged", lambda df, tag, real=ts.staged: seen.append(spark.conf.get(key)) or real(df, tag))
+    ts.write_shards(odd, f"file://{tmp_path}/a", PATH)
+    assert [int(x) for x in seen] == [8 << 20] and spark.conf.get(key) == before
+
+
 def test_a_cut_file_is_refused(tmp_path):
     writer = ts.ShardWriter(f"file://{tmp_path}/x.tok")
     writer.add(np.array([3]), np.array([7, 8], np.uint32), np.array([2]))

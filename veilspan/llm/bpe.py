@@ -23,6 +23,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,8 +36,9 @@ from veilspan.llm.tables import table
 from veilspan.llm.words import raw, slices
 
 LEAF_CHARS = 32
-CALL_TEXTS = 1 << 16  # leaves or windows that go to the library in one call
-UNIT_BYTES = 8 << 20  # of text whose units are encoded at once
+CALL_TEXTS = 1 << 14  # units, leaves or windows that go to the library in one call; what it returns for each is many times its ids
+TAKE_UNITS = 1 << 16  # units whose ids are put into a result at once
+UNIT_BYTES = 2 << 20  # of text whose units are encoded at once
 KNOWN_UNITS = 600_000  # units whose ids a worker keeps at most
 
 _WORDLIKE = np.zeros(256, bool)
@@ -160,9 +162,14 @@ class Codec:
             for piece in self.pieces(units[i]):
                 ids[i] += self.tree.encode(piece, self.leaf)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((k for x in ids for k in x), np.uint32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
         return flat, counts
 
+    def encode_all(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_units, some units a call."""
+        done = [self.encode_units(units.slice(k, CALL_TEXTS).to_numpy(zero_copy_only=False).tolist()) for k in range(0, len(units), CALL_TEXTS)]
+        return tuple(np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.uint32, np.int64), zip(*done) if done else ((), ())))
+
     def ids_of(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and where in them each of these distinct units' ids start and how many they are.
 
@@ -170,17 +177,20 @@ class Codec:
         the last call stay. That changes the work and never the result.
         """
         known, flat, counts = self._known
-        at = pc.index_in(units, value_set=known)
-        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        where = at.fill_null(0).to_numpy().astype(np.int64)
-        more, more_counts = self.encode_units(units.take(pa.array(new)).to_pylist())
+        at = pc.index_in(known, value_set=units)  # so the table that it makes is of this call's units, not of all known ones
+        here = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        where = np.full(len(units), -1, np.int64)
+        where[at.take(pa.array(here)).to_numpy()] = here
+        new = np.flatnonzero(where < 0)
+        fresh = units.take(pa.array(new))
+        more, more_counts = self.encode_all(fresh)
         where[new] = len(known) + np.arange(len(new))
         flat, counts = np.concatenate([flat, more]), np.concatenate([counts, more_counts])
         starts = np.cumsum(counts) - counts
         if len(counts) <= KNOWN_UNITS:
-            self._known = pa.concat_arrays([known, units.take(pa.array(new))]), flat, counts
+            self._known = pa.concat_arrays([known, fresh]), flat, counts
         else:
-            self._known = units.take(pa.array(new)), more, more_counts
+            self._known = fresh, more, more_counts
         return flat, starts[where], counts[where]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +209,14 @@ class Codec:
         code = coded.indices.to_numpy()
         sizes = counts[code]
         ends = np.cumsum(sizes)
-        total = int(ends[-1])
-        take = np.repeat(places[code] - (ends - sizes), sizes) + np.arange(total)
+        out = np.empty(int(ends[-1]), np.uint32)
+        for k in range(0, len(code), TAKE_UNITS):
+            some, size = code[k : k + TAKE_UNITS], sizes[k : k + TAKE_UNITS]
+            start = int(ends[k] - sizes[k])
+            stop = start + int(size.sum())
+            out[start:stop] = flat[np.repeat(places[some] - (ends[k : k + TAKE_UNITS] - size), size) + np.arange(start, stop)]
         first = np.searchsorted(starts, bounds)
-        return flat[take], np.concatenate([[0], ends])[first]
+        return out, np.concatenate([[0], ends])[first]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """Text of each row of ids, as the tokenizer's decode(ids, skip_special_tokens=False)."""

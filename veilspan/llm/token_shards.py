@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.bpe import UNIT_BYTES, codec
-from veilspan.llm.tables import fresh_path, partitions, staged, table
+from veilspan.llm.tables import fresh_path, partitions, small_batches, staged, table
 from veilspan.llm.words import mix, slices
 
 MAGIC = b"VSTOK001"
@@ -231,7 +231,8 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_column: str = "d
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
     rows = df.select(id_column, text_column).repartitionByRange(partitions(df.sparkSession), id_column).sortWithinPartitions(id_column, text_column)
-    done = staged(rows.mapInArrow(run, "shard long, path string, first_key long, n_docs long, n_ids long"), "shards")
+    with small_batches(df.sparkSession):
+        done = staged(rows.mapInArrow(run, "shard long, path string, first_key long, n_docs long, n_ids long"), "shards")
     for left in store.get_file_info(fs.FileSelector(path)):
         if left.path.endswith(".part"):
             store.delete_file(left.path)
