@@ -2,10 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import WORD, near_components, repeats_removed
 
-from veilspan.llm import near_dedup, substring_dedup
+from veilspan.llm import near_dedup, substring_dedup, tables
 from veilspan.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -159,3 +160,26 @@ def test_text_moves_once(spark):
     """The passes over blocks read the bucketed table without an exchange of texts."""
     plan = substring_dedup.op5_substring_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1 and "Bucketed: true" in plan
+
+
+def test_few_files_are_staged_and_in_small_row_groups(spark, monkeypatch, tmp_path):
+    """Each file that an executor writes costs starts of processes on a local disk; a task holds a row group, writing or reading."""
+    monkeypatch.setattr(substring_dedup, "ROW_GROUP_BYTES", 1 << 14)
+    monkeypatch.setattr(tables, "fresh_path", lambda spark, tag: f"file://{tmp_path}/{tag}")
+    monkeypatch.setattr(substring_dedup, "fresh_path", tables.fresh_path)
+    docs = spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(300))) for i in range(2000)], "doc_id long, text string")
+    assert substring_dedup.remove_repeats(docs).where("n_words = 300 and n_removed = 0").count() == 2000
+    files = {x.name: list(x.glob("*.parquet")) for x in tmp_path.iterdir()}
+    assert sorted(files) == ["anchors", "blocks", "marks"] and len(files["marks"]) < 4 and len(files["blocks"]) <= 4
+    for file in files["blocks"]:
+        groups = pq.ParquetFile(file).metadata
+        assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 1 << 19
+
+
+def test_scans_before_the_passes_are_short_for_that_time_only(spark, monkeypatch):
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    bucketed = substring_dedup._bucketed
+    monkeypatch.setattr(substring_dedup, "_bucketed", lambda df, n: seen.append(spark.conf.get(key)) or bucketed(df, n))
+    before = spark.conf.get(key)
+    substring_dedup.remove_repeats(table(spark, SF, "documents"))
+    assert seen == ["256"] and spark.conf.get(key) == before

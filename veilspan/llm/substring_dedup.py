@@ -40,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.tables import fresh_path, partitions, staged, table
+from veilspan.llm.tables import fresh_path, partitions, short_scans, staged, table
 from veilspan.llm.words import Words, mix, raw, rolled
 
 WINDOW = 20
 BLOCK_BYTES = 6 << 20  # of text in a block, on average
 BUCKET_BYTES = 64 << 20  # of text in a file of blocks, on average
 MAX_BUCKETS = 100_000
+ROW_GROUP_BYTES = 2 << 20  # of a file of blocks; a task holds one when it writes, and decodes no more at once when it reads
 GROUP_SUFFIXES = 4_000_000  # a worker's memory holds so many suffixes of a group
 LETTERS = 3  # words that stand in a label themselves; 16 bits are left for the path
 SAMPLE = 1 << 18  # labels that the cuts are chosen from, as expected; they set sizes of groups, never results
@@ -186,6 +187,7 @@ def _rows(out: list[tuple], names: list[str], kinds: tuple[pa.DataType, ...]) ->
 
 
 _WHERE = (pa.int32(), pa.int32())
+_ANCHORS, _SAMPLED = -1, -2  # in place of a group's number: values that stay, labels of the sample
 
 
 def _census(block_of: Callable[[pa.Table], Block], ranges: int, every: int):
@@ -196,7 +198,7 @@ def _census(block_of: Callable[[pa.Table], Block], ranges: int, every: int):
         letters, path = block.labels(block.at)
         _, one = np.unique(path, return_index=True)  # copies within a block go to their group once
         some = one[mix(path[one] ^ mix(np.array([number], _U))) % _U(every) == 0]
-        out = [(-1, number, _bytes(letters[some]), _bytes(path[some]))]
+        out = [(-1 - number % ranges, number, _bytes(letters[some]), _bytes(path[some]))] if len(some) else []
         out += [(g, number, _bytes(values[a:b]), _bytes(seen[a:b] > 1)) for g, a, b in _pieces(group)]
         return _rows(out, ["grp", "block", "items", "flags"], (*_WHERE, pa.binary(), pa.binary()))
 
@@ -204,7 +206,9 @@ def _census(block_of: Callable[[pa.Table], Block], ranges: int, every: int):
 
 
 def _shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
-    """Which values of each block are at two places or more in all blocks."""
+    """Which values of each block are at two places or more in all blocks; groups below 0, the sample, go through."""
+    if key[0].as_py() < 0:
+        return pa.table([rows.column("block"), pa.array(np.full(len(rows), _SAMPLED, np.int32)), rows.column("items"), rows.column("flags")], ["block", "grp", "reply", "sources"])
     values = [np.frombuffer(x, _U) for x in rows.column("items").to_pylist()]
     flags = np.concatenate([np.frombuffer(x, bool) for x in rows.column("flags").to_pylist()])
     flat = np.concatenate(values)
@@ -218,7 +222,7 @@ def _shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     edge = np.cumsum([0, *map(len, values)])
     kept = [_bytes(flat[a:b][again[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
     none = pa.array([None] * len(kept), pa.binary())
-    return pa.table([rows.column("block"), pa.array(np.full(len(kept), -1, np.int32)), pa.array(kept, pa.binary()), none], ["block", "grp", "reply", "sources"])
+    return pa.table([rows.column("block"), pa.array(np.full(len(kept), _ANCHORS, np.int32)), pa.array(kept, pa.binary()), none], ["block", "grp", "reply", "sources"])
 
 
 def _branches(block_of: Callable[[pa.Table], Block], cuts: Cuts, sources: bool):
@@ -273,7 +277,7 @@ def _removal(block_of: Callable[[pa.Table], Block], cuts: Cuts, text_column: str
         block = block_of(rows)
         words, window = block.words, block.window
         gone = np.zeros(len(words.start), bool)
-        source = np.full((len(words.start), 2), -1, np.int64)
+        source = np.full((len(words.start) if sources else 0, 2), -1, np.int64)
         if len(block.at):
             s = block.suffixes(_repeated(replies), cuts)
             found = {g: (x, y) for g, x, y in zip(*(replies.column(c).to_pylist() for c in ("grp", "reply", "sources")))}
@@ -332,7 +336,9 @@ def kept_text(words: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = words.data.copy()
     data[joint] = 0x20
     mask[joint] = True
-    edge = np.concatenate([[0], np.cumsum(mask)])[words.bounds]
+    size = end - start
+    size[:-1] += text[1:] == text[:-1]
+    edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(text, np.arange(len(words.bounds)))]
     return data[mask], edge
 
 
@@ -351,7 +357,7 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     """df as a table in the shared folder whose files hold whole blocks, so later passes over blocks move no text."""
     name = f"veilspan_blocks_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, "block").write.format("parquet").option("path", fresh_path(df.sparkSession, "blocks"))
-    writer.bucketBy(buckets, "block").saveAsTable(name)
+    writer.option("parquet.block.size", ROW_GROUP_BYTES).bucketBy(buckets, "block").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -365,12 +371,14 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_column: str = "doc_id
     spark = df.sparkSession
     n = partitions(spark)
     kept = [id_column, *(c for c in keep_columns if c not in (id_column, text_column))]
-    size = df.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    with short_scans(spark):
+        size = df.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     n_blocks = max(1, size // BLOCK_BYTES, min(4 * n, size // (BLOCK_BYTES // 8)))
     block = F.pmod(F.xxhash64(id_column), F.lit(n_blocks)).cast("int")
     names = [f"c{i}" for i in range(len(kept))]  # whatever the columns are called
     wide = df.select(block.alias("block"), *(F.col(c).alias(x) for c, x in zip(kept, names)), F.col(text_column).alias("text"))
-    wide = _bucketed(wide, int(min(MAX_BUCKETS, max(n, size // BUCKET_BYTES))))
+    with short_scans(spark):
+        wide = _bucketed(wide, int(min(MAX_BUCKETS, max(n, size // BUCKET_BYTES))))
     docs = wide.select("block", names[0], "text")
 
     def block_of(rows: pa.Table) -> Block:
@@ -378,17 +386,21 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_column: str = "doc_id
 
     ranges = max(1, min(1 << 20, max(2 * n, size // (32 << 20))))
     every = max(1, size // 6 // SAMPLE)  # words have some six bytes
-    census = staged(docs.groupBy("block").applyInArrow(_census(block_of, ranges, every), "grp int, block int, items binary, flags binary"), "census")
-    sample = census.where("grp < 0").select("items", "flags").toPandas()  # SAMPLE labels, about
-    letters, path = (np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for x in sample[c])]) for c in ("items", "flags"))
+    census = docs.groupBy("block").applyInArrow(_census(block_of, ranges, every), "grp int, block int, items binary, flags binary")
+    shape = "block int, grp int, reply binary, sources binary"
+    with short_scans(spark):
+        found = staged(census.groupBy("grp").applyInArrow(_shared_anchors, shape), "anchors")
+    anchors = found.where(F.col("grp") == _ANCHORS)
+    sample = found.where(F.col("grp") == _SAMPLED).select("reply", "sources").toPandas()  # SAMPLE labels, about
+    letters, path = (np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for x in sample[c])]) for c in ("reply", "sources"))
     limit = int(max(1 << 17, min(GROUP_SUFFIXES, len(path) * every // (2 * n))))
     cuts = Cuts(letters, path, -(-len(path) * every // limit))
-    shape = "block int, grp int, reply binary, sources binary"
-    anchors = staged(census.where("grp >= 0").groupBy("grp").applyInArrow(_shared_anchors, shape), "anchors")
 
     by_block = docs.groupBy("block").cogroup(anchors.groupBy("block"))
     branches = by_block.applyInArrow(_branches(block_of, cuts, sources), "grp int, block int, " + ", ".join(f"{k} binary" for k, _ in _LABEL))
-    marks = staged(branches.groupBy("grp").applyInArrow(_subtrees(window, sources), shape), "marks")
+    marks = branches.groupBy("grp").applyInArrow(_subtrees(window, sources), shape)
+    with short_scans(spark):
+        marks = staged(marks.repartition("block"), "marks")  # a bit a suffix: few files, not one for each task that has trees
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     shape = ", ".join(f"{x} {kinds[c]}" for c, x in zip(kept, names)) + f", n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string, removed_spans array<array<int>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pandas as pd
@@ -56,17 +56,25 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
-    """Bounds the bytes of one batch sent to Python while eager steps run: each is held outside the heap, several times over."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _held(spark: SparkSession, key: str, value: int) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(size))
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> AbstractContextManager[None]:
+    """Bounds the bytes of one batch sent to Python while eager steps run: each is held outside the heap, several times over."""
+    return _held(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def short_scans(spark: SparkSession, rows: int = 256) -> AbstractContextManager[None]:
+    """Bounds the rows that a scan decodes at once while eager steps run: 4,096 texts stand in arrays that double as they fill."""
+    return _held(spark, "spark.sql.parquet.columnarReaderBatchSize", rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
